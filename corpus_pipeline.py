@@ -1,25 +1,79 @@
-"""The corpus pipeline: stages that each take and return documents."""
+"""The corpus pipeline: documents are judged, deduplicated, decontaminated and packed.
+
+Each stage takes documents and all but the last return documents with the
+columns they came with.  A stage computes the ids it drops, writes them to the
+shared folder, and takes them off its input by an anti join: broadcast while
+they are few, shuffled beyond that.  Rows without doc_id can't be named by a
+stage that drops ids; they pass through those and are left out by packing.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from leafmill.llm.exact_dedup import exact_dedup
-from leafmill.llm.scratch import Scratch
+from leafmill.llm import decontaminate, exact_dedup, near_dedup, packing, quality
+from leafmill.llm.scratch import BROADCAST_ROWS, Scratch, broadcast
+
+_last: list[Scratch] = []
+
+
+def _without(docs: DataFrame, dropped: Callable[[Scratch], DataFrame], what: str) -> DataFrame:
+    """docs without the doc_ids that ``dropped`` names."""
+    spark = docs.sparkSession
+    # The table before this one was read when its stage's result was written.
+    while _last:
+        _last.pop().drop()
+    work, own = Scratch(spark, what), Scratch(spark, f"{what}-ids")
+    ids = own.save(dropped(work).select("doc_id").distinct(), "dropped")
+    work.drop()
+    _last.append(own)
+    return docs.join(broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    work = Scratch(spark, "quality")
+    net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), work)
+    work.drop()
+    return quality.keep_good(docs, net)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return _without(docs, lambda work: exact_dedup.exact_dedup(docs, work).where("NOT kept"), "copies")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, lambda work: near_dedup.near_dedup(docs, work).where("NOT kept"), "near")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, lambda work: decontaminate.leaks(docs, items, work), "leaks")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
 
 
-STAGES = [("exact dedup", drop_copies)]
+STAGES = [
+    ("quality classifier", reject_poor),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+#: SQL can't state a trained network; the pipeline is tested against a brute-force version of its stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: DataFrame | None = None
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        result = kept.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            kept.drop(before)
+        docs = before = result
     return docs

@@ -225,3 +225,15 @@ def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_quality_classifier": op8_quality_classifier}
+
+
+def keep_good(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least the threshold; in one pass, without a join."""
+    model = docs.sparkSession.sparkContext.broadcast(net)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            net = model.value
+            yield batch.filter(pa.array(net.score(pooled(batch["text"], net.vectors)) >= threshold))
+
+    return docs.mapInArrow(work, docs.schema)

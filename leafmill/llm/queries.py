@@ -1,8 +1,8 @@
 """All queries of this subpackage and the SQL of those that SQL can state."""
 
-from leafmill.llm import exact_dedup, near_dedup, packing
+from leafmill.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 
-MODULES = (packing, near_dedup, exact_dedup)
+MODULES = (decontaminate, packing, quality, near_dedup, exact_dedup)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for module in MODULES:

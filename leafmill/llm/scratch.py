@@ -78,3 +78,8 @@ def only(docs: DataFrame, *columns: str) -> DataFrame:
 def restrict(rows: DataFrame, keys: DataFrame, n_keys: int, on: str) -> DataFrame:
     """Rows whose key is in ``keys`` (of n_keys rows): broadcast while that is small, else shuffled."""
     return rows.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys.hint("shuffle_hash"), on, "left_semi")
+
+
+def broadcast(keys: DataFrame) -> DataFrame:
+    """A side whose rows were counted and found to be at most BROADCAST_ROWS."""
+    return F.broadcast(keys)
