@@ -1,8 +1,8 @@
 """All queries of this subpackage and the SQL of those that SQL can state."""
 
-from leafmill.llm import decontaminate, exact_dedup, near_dedup, packing, quality, substrings
+from leafmill.llm import decontaminate, exact_dedup, lm_score, near_dedup, packing, quality, substrings, url_filter
 
-MODULES = (substrings, decontaminate, packing, quality, near_dedup, exact_dedup)
+MODULES = (substrings, url_filter, decontaminate, lm_score, packing, quality, near_dedup, exact_dedup)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for module in MODULES:
