@@ -161,8 +161,9 @@ def type_accuracy(actual: DataFrame, expected: DataFrame) -> DataFrame:
                 hits += kind == kinds[at]
         return pd.DataFrame({"doc_id": [key[0]], "score": [hits / max(pairs, len(goals)) if pairs else 0.0]})
 
-    cols = ["doc_id", "seq", "type", "text"]
-    return actual.select(*cols).groupBy("doc_id").cogroup(expected.select(*cols).groupBy("doc_id")).applyInPandas(pair, "doc_id bigint, score double")
+    # Fresh columns: where both sides come from one table, a cogroup mixes up columns they share.
+    fresh = lambda d: d.select(*[F.col(c).alias(c) for c in ("doc_id", "seq", "type", "text")]).groupBy("doc_id")
+    return fresh(actual).cogroup(fresh(expected)).applyInPandas(pair, "doc_id bigint, score double")
 
 
 def document_metrics(actual: DataFrame, expected: DataFrame, docs: DataFrame) -> DataFrame:

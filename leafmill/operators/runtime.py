@@ -101,5 +101,6 @@ def merge_engines(first: DataFrame, second: DataFrame) -> DataFrame:
         return out[[*PAGE, *cols]]
 
     schema = "doc_id bigint, page_no int, block_seq int, text string, x0 double, y0 double, x1 double, y1 double, confidence double, engine string"
-    pick = [*PAGE, *cols]
-    return first.select(*pick).groupBy(*PAGE).cogroup(second.select(*pick).groupBy(*PAGE)).applyInPandas(merge, schema)
+    # Fresh columns: where both sides come from one table, a cogroup mixes up columns they share.
+    fresh = lambda d: d.select(*[F.col(c).alias(c) for c in (*PAGE, *cols)]).groupBy(*PAGE)
+    return fresh(first).cogroup(fresh(second)).applyInPandas(merge, schema)
