@@ -14,8 +14,10 @@ out; repeated rows are packed each on their own.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,7 @@ def tokenizer(vocabulary: str):
     if vocabulary not in _loaded:
         from pathlib import Path
 
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_file(vocabulary)
-        special = [t.content for t in own.get_added_tokens_decoder().values()]
+        special = [t["content"] for t in json.loads(Path(vocabulary).read_text(encoding="utf-8")).get("added_tokens", [])]
         ranks = Path(vocabulary).with_suffix(".tiktoken")
         fast = None
         if ranks.exists():
@@ -54,17 +53,25 @@ def tokenizer(vocabulary: str):
 
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.open("rb"))}
             fast = tiktoken.Encoding(ranks.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        _loaded[vocabulary] = own, special, fast
-    own, special, fast = _loaded[vocabulary]
+        _loaded[vocabulary] = special, fast
+    special, fast = _loaded[vocabulary]
 
     def ids(text: str) -> list[int]:
         if fast is None or any(s in text for s in special):
-            return own.encode(text, add_special_tokens=False).ids
+            return _own(vocabulary).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return ids
 
 
+@lru_cache
+def _own(vocabulary: str):
+    """The file's own tokenizer; most tasks never need it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 

@@ -37,18 +37,24 @@ BUCKETS, WIDTH, NONZERO, WINDOW = 1 << 15, 64, 4, 2
 HIDDEN, EPOCHS, THRESHOLD, FOLDS = 32, 60, 0.3, 5
 #: UTF-8 bytes of text that are pooled at once.
 RUN_BYTES = 1 << 19
+#: Word vectors that are summed at once.
+GATHER = 1 << 13
 
 _FORM = np.arange(256, dtype=np.uint8)
 _FORM[97:123], _FORM[128:], _FORM[65:91], _FORM[48:58] = 97, 97, 65, 48
 
 
+def draws(buckets: int, width: int, nonzero: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket the places of its index vector's entries, and their signs; both (nonzero, buckets)."""
+    draw = np.stack([mix(np.arange(buckets, dtype=U64) * U64(nonzero) + U64(j + (seed << 32))) for j in range(nonzero)])
+    return ((draw >> U64(1)) % U64(width)).astype(np.int64), np.where(draw & U64(1), 1, -1).astype(np.int32)
+
+
 def index_vectors(buckets: int, width: int, nonzero: int, seed: int) -> np.ndarray:
-    """int8 (buckets, width): for each bucket nonzero entries of +1 or -1."""
-    out = np.zeros((buckets, width), np.int8)
-    rows = np.arange(buckets)
-    for j in range(nonzero):
-        draw = mix(np.arange(buckets, dtype=U64) * U64(nonzero) + U64(j + (seed << 32)))
-        out[rows, (draw >> U64(1)) % U64(width)] = np.where(draw & U64(1), 1, -1)
+    """int8 (buckets, width): the index vectors; where places coincide the last sign counts."""
+    out, (places, signs) = np.zeros((buckets, width), np.int8), draws(buckets, width, nonzero, seed)
+    for place, sign in zip(places, signs, strict=True):
+        out[np.arange(buckets), place] = sign
     return out
 
 
@@ -75,57 +81,57 @@ def streams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """int64 (2, BUCKETS, WIDTH): sums of the neighbours' index vectors, of words and of forms."""
-    index = [index_vectors(BUCKETS, WIDTH, NONZERO, s) for s in (1, 2)]
-    total = np.zeros((2, BUCKETS, WIDTH), np.int64)
+    """int32 (2, BUCKETS, WIDTH): sums of the neighbours' index vectors, of words and of forms."""
+    total = np.zeros((2, BUCKETS * WIDTH), np.int32)
+    # Of coinciding places one entry stays, so that sums agree with index_vectors.
+    entries = []
+    for seed in (1, 2):
+        rows, places = np.nonzero(index_vectors(BUCKETS, WIDTH, NONZERO, seed))
+        count = np.bincount(rows, minlength=BUCKETS)
+        entries.append((np.cumsum(count) - count, count, places, index_vectors(BUCKETS, WIDTH, NONZERO, seed)[rows, places].astype(np.int32)))
     for batch in batches:
         for first, *kinds in streams(batch["text"]):
             owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            for table, vectors, ids in zip(total, index, kinds, strict=True):
+            for table, (begin, size, places, signs), ids in zip(total, entries, kinds, strict=True):
                 for step in range(1, WINDOW + 1):
                     near = owner[step:] == owner[:-step]
-                    pair = np.unique(np.stack([ids[step:][near], ids[:-step][near]]), axis=1, return_counts=True)
-                    (right, left), count = pair
-                    np.add.at(table, left, vectors[right] * count[:, None])
-                    np.add.at(table, right, vectors[left] * count[:, None])
-    return total
+                    left, right = ids[:-step][near], ids[step:][near]
+                    pair, count = np.unique(np.concatenate([left * BUCKETS + right, right * BUCKETS + left]), return_counts=True)
+                    to, of = pair // BUCKETS, pair % BUCKETS
+                    for j in range(NONZERO):
+                        some = size[of] > j
+                        at = begin[of[some]] + j
+                        np.add.at(table, to[some] * WIDTH + places[at], signs[at] * count[some].astype(np.int32))
+    return total.reshape(2, BUCKETS, WIDTH)
 
 
 def word_vectors(total: np.ndarray) -> np.ndarray:
     """float32 vectors: normalised sums plus the word's own index vector."""
-    length = np.linalg.norm(total, axis=2, keepdims=True)
-    own = np.stack([index_vectors(BUCKETS, WIDTH, NONZERO, s) for s in (1, 2)])
-    return (total / np.maximum(length, 1) + 0.5 * own).astype(np.float32)
+    out = total.astype(np.float32)
+    for table, seed in zip(out, (1, 2), strict=True):
+        table /= np.maximum(np.sqrt(np.einsum("bw,bw->b", table, table)), 1)[:, None]
+        table += index_vectors(BUCKETS, WIDTH, NONZERO, seed) * np.float32(0.5)
+    return out
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """float32 (texts, 2 * WIDTH): mean vectors of words and of forms."""
     parts = [np.zeros((0, 2 * WIDTH), np.float32)]
+    ones = np.ones(GATHER, np.float32)
     for first, *kinds in streams(column):
-        count, out = np.diff(first), np.zeros((len(first) - 1, 2 * WIDTH), np.float32)
-        full = count > 0
-        for j, (table, ids) in enumerate(zip(vectors, kinds, strict=True)):
-            for lo in range(0, len(first) - 1, 256):  # bounded numbers of gathered vectors at once
-                some = slice(lo, lo + 256)
-                here = full[some]
-                if here.any():
-                    begin, end = first[lo], first[min(lo + 256, len(first) - 1)]
-                    sums = _sums(table, ids[begin:end], first[:-1][some][here] - begin)
-                    out[some, j * WIDTH : (j + 1) * WIDTH][here] = sums
-        out[full] /= count[full, None]
-        parts.append(out)
+        out = np.zeros((len(first) - 1, 2, WIDTH), np.float32)
+        bounds = first.tolist()
+        for t, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            for j, (table, ids) in enumerate(zip(vectors, kinds, strict=True)):
+                for at in range(lo, hi, GATHER):
+                    some = ids[at : min(at + GATHER, hi)]
+                    out[t, j] += ones[: len(some)] @ table[some]
+        count = np.diff(first)
+        out[count > 0] /= count[count > 0, None, None]
+        parts.append(out.reshape(len(out), 2 * WIDTH))
     return np.concatenate(parts)
 
 
-def _sums(table: np.ndarray, ids: np.ndarray, starts: np.ndarray, most: int = 1 << 17) -> np.ndarray:
-    if len(ids) <= most:
-        return np.add.reduceat(table[ids], starts, axis=0)
-    bounds, out = [*starts.tolist(), len(ids)], []
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        out.append(sum(table[ids[i : min(i + most, b)]].sum(axis=0, dtype=np.float32) for i in range(a, b, most)))
-    return np.stack(out)
-
-
 @dataclass
 class Network:
     vectors: np.ndarray
@@ -186,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "qual
     texts = scratch.save(only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([neighbours(batches).astype(np.int32).tobytes()], pa.binary())], ["blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([neighbours(batches).tobytes()], pa.binary())], ["blob"])
 
     blob = texts.coalesce(1).mapInArrow(sums, "blob binary").first()[0]
     vectors = word_vectors(np.frombuffer(blob, np.int32).reshape(2, BUCKETS, WIDTH))

@@ -53,10 +53,7 @@ def test_packing(spark, fan_in, task_items):
     docs, scratch = frame(spark, rows).repartition(6), Scratch(spark, "t")
     cut = scratch.save(packing.pieces(docs, packing.default_vocabulary()))
     placed = packing.pack(cut, scratch, fan_in=fan_in, task_items=task_items).collect()
-    encode = packing._loaded[packing.default_vocabulary()][0] if packing._loaded else None
-    from tokenizers import Tokenizer
-
-    encode = encode or Tokenizer.from_file(packing.default_vocabulary())
+    encode = packing._own(packing.default_vocabulary())
     want = collections.Counter()
     for d, t in rows:
         if d is not None:
@@ -90,10 +87,7 @@ def test_sequences_round_trip(spark):
 @given(st.text(max_size=80))
 def test_fast_ids_are_the_tokenizers(text):
     encode = packing.tokenizer(packing.default_vocabulary())
-    from tokenizers import Tokenizer
-
-    own = test_fast_ids_are_the_tokenizers.__dict__.setdefault("own", Tokenizer.from_file(packing.default_vocabulary()))
-    assert encode(text) == own.encode(text, add_special_tokens=False).ids
+    assert encode(text) == packing._own(packing.default_vocabulary()).encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("model_bytes", [1 << 30, 0])
