@@ -25,21 +25,29 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.scratch import Scratch, only
 
-BLOCK_BYTES = 4096
+BLOCK_BYTES = 16384
 #: Names with more rows than this share of all rows are joined back by broadcast.
-HOT_SHARE = 1000
+HOT_SHARE, HOT_LEAST = 1000, 10_000
 
 
-def attach(rows: DataFrame, names: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
+def weigh(names: DataFrame) -> tuple[int, int]:
+    """The rows that names (with ``n`` rows each) stand for, and the most of one."""
+    total, most = names.agg(F.sum("n"), F.max("n")).first()
+    return total or 0, most or 0
+
+
+def attach(rows: DataFrame, names: DataFrame, keys: list[str], weight: tuple[int, int]) -> DataFrame:
     """Inner join rows with names (one row per key, with its ``n`` of rows) on null-free keys.
 
-    Keys with over n_rows / HOT_SHARE rows, of which there are fewer than
-    HOT_SHARE by counting, go by broadcast; no other key is large enough to skew.
+    Keys with over 1 / HOT_SHARE of all rows, of which there are fewer than
+    HOT_SHARE by counting, go by broadcast; no other key is large enough to
+    skew. Where no key is hot the join is a plain one.
     """
-    limit = max(10_000, n_rows // HOT_SHARE)
-    hot = F.broadcast(names.where(F.col("n") > limit).drop("n"))
-    if n_rows <= limit:
+    n_rows, most = weight
+    limit = max(HOT_LEAST, n_rows // HOT_SHARE)
+    if most <= limit:
         return rows.join(names.drop("n"), keys)
+    hot = F.broadcast(names.where(F.col("n") > limit).drop("n"))
     rest = rows.join(hot.select(*keys), keys, "left_anti").join(names.where(F.col("n") <= limit).drop("n"), keys)
     return rest.unionByName(rows.join(hot, keys).select(*rest.columns))
 
@@ -49,8 +57,8 @@ def named(groups: DataFrame, order: list[str], name: str) -> DataFrame:
     return groups.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
 
 
-def block_identity(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES, hash_of=F.xxhash64) -> tuple[DataFrame, int]:
-    """(doc_id, text_key, n_blocks, name, text_sha256) of each document, and how many there are."""
+def block_identity(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES, hash_of=F.xxhash64) -> DataFrame:
+    """(doc_id, text_key, n_blocks, name, text_sha256) of each document."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     texts = only(docs, "doc_id", "text").where("doc_id IS NOT NULL").withColumn("raw", raw)
     count = F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / block_bytes)).cast("int")
@@ -65,12 +73,11 @@ def block_identity(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_B
         .withColumn("text_key", F.xxhash64("hashes", "text_sha256")).dropDuplicates(["doc_id", "text_key", "text_sha256"]),
         "documents",
     )
-    n_docs = marked.count()
     occurrences = marked.select("doc_id", "text_key", "n_blocks", F.posexplode("hashes").alias("pos", "h"))
 
     # The only shuffle of bytes: distinct blocks, combined in the map tasks.
     distinct = scratch.save(texts.select(F.explode(blocks).alias("b")).select(hash_of(F.col("b")).alias("h"), "b").groupBy("h", "b").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")), "blocks")
-    n_rows = distinct.agg(F.sum("n")).first()[0] or 0
+    weight = weigh(distinct)
     clash = distinct.where("kinds > 1").select("h")
     if clash.isEmpty():
         placed = occurrences.withColumn("r", F.lit(0))
@@ -85,7 +92,7 @@ def block_identity(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_B
         placed = occurrences.join(rank_of, ["doc_id", "text_key", "pos"], "left").withColumn("r", F.coalesce("r", F.lit(0)))
     placed = placed.select("doc_id", "text_key", "n_blocks", "pos", "h", "r")
     names = named(distinct.select("h", "n", F.explode(F.sequence(F.lit(0), (F.col("kinds") - 1).cast("int"))).alias("r")), ["h", "r"], "name")
-    level = attach(placed, scratch.save(names, "names"), ["h", "r"], n_rows).select("doc_id", "text_key", "n_blocks", "pos", "name")
+    level = attach(placed, scratch.save(names, "names"), ["h", "r"], weight).select("doc_id", "text_key", "n_blocks", "pos", "name")
     level = scratch.save(level, "level")
     done = [level.where("n_blocks = 1").drop("pos")]
     rest, left = level.where("n_blocks > 1"), F.col("n_blocks")
@@ -96,15 +103,15 @@ def block_identity(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_B
         )
         pair = scratch.save(pair.withColumnRenamed("half", "pos"), "pairs")
         groups = scratch.save(pair.groupBy("a", "b").agg(F.count("*").alias("n")), "groups")
-        total = groups.agg(F.sum("n")).first()[0] or 0
+        weight = weigh(groups)
         names = scratch.save(named(groups, ["a", "b"], "name"), "names")
-        level = scratch.save(attach(pair, names, ["a", "b"], total).select("doc_id", "text_key", "n_blocks", "pos", "name"), "level")
+        level = scratch.save(attach(pair, names, ["a", "b"], weight).select("doc_id", "text_key", "n_blocks", "pos", "name"), "level")
         left, longest = F.ceil(left / 2), -(-longest // 2)
         done.append(level.where(left == 1).drop("pos"))
         rest = level.where(left > 1)
     whole = reduce(DataFrame.unionByName, done)
     keys = ["doc_id", "text_key"]
-    return whole.join(marked.select(*keys, "text_sha256"), keys), n_docs
+    return whole.join(marked.select(*keys, "text_sha256"), keys)
 
 
 def exact_dedup(docs: DataFrame, scratch: Scratch | None = None, block_bytes: int = BLOCK_BYTES, hash_of=F.xxhash64) -> DataFrame:
@@ -113,12 +120,12 @@ def exact_dedup(docs: DataFrame, scratch: Scratch | None = None, block_bytes: in
     Of equal texts the one with the largest doc_id is kept.
     """
     scratch = scratch or Scratch(docs.sparkSession, "exact")
-    identity, n_docs = block_identity(docs, scratch, block_bytes, hash_of)
+    identity = block_identity(docs, scratch, block_bytes, hash_of)
     identity = scratch.save(identity, "identity")
     key = ["n_blocks", "name"]
     groups = scratch.save(identity.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), "groups")
     sized = groups.withColumn("group_size", F.col("n"))
-    out = attach(identity, sized, key, n_docs)
+    out = attach(identity, sized, key, weigh(groups))
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 

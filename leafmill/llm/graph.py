@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.exact_dedup import attach
+from leafmill.llm.exact_dedup import attach, weigh
 from leafmill.llm.scratch import Scratch
 
 #: Edges that one task may hold; beyond it the star algorithm runs on tables.
@@ -37,15 +37,18 @@ def _stars(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """One large-star or small-star step; edges are (a, b), each once, a > b."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     centres = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "centres")
-    joined = attach(both, centres, ["a"], both.count())
+    joined = attach(both, centres, ["a"], weigh(centres))
     moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(centres.select("a", F.col("m").alias("b")))
     return scratch.save(moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
 
-def components(edges: DataFrame, scratch: Scratch, task_edges: int = TASK_EDGES) -> DataFrame:
-    """(node, component) of all nodes that have an edge (a, b); component: the smallest node reached."""
+def components(edges: DataFrame, scratch: Scratch, task_edges: int = TASK_EDGES, at_most: int | None = None) -> DataFrame:
+    """(node, component) of all nodes that have an edge (a, b); component: the smallest node reached.
+
+    at_most: a bound of the number of edges where the caller has counted them.
+    """
     edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if edges.count() <= task_edges:
+    if (at_most if at_most is not None and at_most <= task_edges else edges.count()) <= task_edges:
 
         def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = list(batches)

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.exact_dedup import attach
+from leafmill.llm.exact_dedup import attach, weigh
 from leafmill.llm.graph import components
-from leafmill.llm.scratch import Scratch, only, restrict
+from leafmill.llm.scratch import BROADCAST_ROWS, Scratch, only, restrict
 from leafmill.llm.words import grams, group_of, runs, scan
 
 SHINGLE, SKETCH, NEEDED, PERCENT = 5, 64, 26, 70
@@ -76,8 +76,7 @@ def inverted_lists(classes: DataFrame, scratch: Scratch, k: int, needed: int, pe
     """(v, doc, size) of the rare retained values that at least two classes list."""
     rows = classes.select("doc", "size", F.explode("sketch").alias("v"))
     shared = scratch.save(rows.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    counted = attach(rows, shared.withColumn("df", F.col("n")), ["v"], total)
+    counted = attach(rows, shared.withColumn("df", F.col("n")), ["v"], weigh(shared))
     length = F.least(F.col("size"), F.lit(k))
     exact = F.ceil(F.col("size") * percent / 100)
     least = F.when(F.col("size") * 100 <= percent * k, exact).otherwise(F.least(exact, F.lit(needed)))
@@ -86,28 +85,27 @@ def inverted_lists(classes: DataFrame, scratch: Scratch, k: int, needed: int, pe
     rare = per.withColumn("room", F.greatest(F.lit(0), room).cast("int")).where("room > 0")
     listed = scratch.save(rare.select("doc", "size", F.explode(F.slice("own", 1, F.col("room"))).alias("o")).select(F.col("o.v").alias("v"), "doc", "size"), "listed")
     again = scratch.save(listed.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "again")
-    return scratch.save(attach(listed, again, ["v"], listed.count()).select("v", "doc", "size"), "lists")
+    return scratch.save(attach(listed, again, ["v"], weigh(again)).select("v", "doc", "size"), "lists")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, k: int, estimate: float, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, n_pairs: int, texts: DataFrame, scratch: Scratch, k: int, estimate: float, percent: int) -> DataFrame:
     """Those pairs (a, b) whose sets have the Jaccard similarity, by estimate and then exactly.
 
     Pairs of one candidate component meet in one bucket, so that each text
     travels once; large components are split by a.
     """
-    n_pairs = pairs.count()
     if not n_pairs:
         return pairs
-    part = components(pairs, scratch)
+    part = components(pairs, scratch, at_most=n_pairs)
     sized = pairs.join(part.withColumnRenamed("node", "a"), "a")
     weight = scratch.save(sized.groupBy("component").agg(F.count("*").alias("n")), "weights")
     many = weight.withColumn("cuts", F.ceil(F.col("n") / (2 * BUCKET_DOCS)))
     buckets = max(1, 2 * n_pairs // BUCKET_DOCS)
     place = F.pmod(F.xxhash64("component", F.pmod(F.xxhash64("a"), "cuts")), F.lit(buckets)).cast("int")
-    placed = scratch.save(attach(sized, many, ["component"], n_pairs).select("a", "b", place.alias("bucket")), "placed")
+    placed = scratch.save(attach(sized, many, ["component"], weigh(weight)).select("a", "b", place.alias("bucket")), "placed")
     wanted = placed.select("bucket", F.col("a").alias("doc_id")).unionByName(placed.select("bucket", F.col("b").alias("doc_id"))).distinct()
     wanted = scratch.save(wanted, "wanted")
-    small = wanted.count() <= 1_000_000
+    small = 2 * n_pairs <= BROADCAST_ROWS or wanted.count() <= BROADCAST_ROWS
     sent = texts.join(F.broadcast(wanted) if small else wanted, "doc_id").select("bucket", "doc_id", "text")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -156,15 +154,16 @@ def near_dedup(docs: DataFrame, scratch: Scratch | None = None, k: int = SKETCH,
     links: DataFrame | None = None
     labels: DataFrame | None = None
     tried: DataFrame | None = None
+    n_tried = 0
     for step in range(star_rounds + 1):
         here = lists.withColumn("part", F.col("doc")) if labels is None else lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("v", "doc", "size", F.coalesce("component", "doc").alias("part"))
         pick = F.min if step % 2 == 0 else F.max
         heads = here.groupBy("v").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"), pick(F.struct("doc", "size", "part")).alias("hub")).where("lo <> hi")
         heads = scratch.save(heads, "heads")
-        left = heads.agg(F.count("*"), F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n"))).first()
+        left = heads.agg(F.count("*"), F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n")), F.max("n")).first()
         if not left[0]:
             break
-        here = scratch.save(attach(here, heads, ["v"], left[1]).select("v", "doc", "size", "part", "hub"), "open")
+        here = scratch.save(attach(here, heads, ["v"], (left[1], left[3])).select("v", "doc", "size", "part", "hub"), "open")
         fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
         final = step == star_rounds or left[2] < 8 * left[1]
         if final:
@@ -178,9 +177,11 @@ def near_dedup(docs: DataFrame, scratch: Scratch | None = None, k: int = SKETCH,
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, "candidates")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = verified(pairs, texts, scratch, k, estimate, percent)
+        n_pairs = pairs.count()
+        n_tried += n_pairs
+        found = verified(pairs, n_pairs, texts, scratch, k, estimate, percent)
         links = found if links is None else links.unionByName(found)
-        labels = components(links, scratch)
+        labels = components(links, scratch, at_most=n_tried)
         if final:
             break
     classed = sets.select("set_key", "n", "doc")
@@ -190,7 +191,7 @@ def near_dedup(docs: DataFrame, scratch: Scratch | None = None, k: int = SKETCH,
         classed = classed.withColumnRenamed("doc", "component_id")
     scratch.drop(texts)
     slim = all_rows.select("doc_id", "n_shingles", "set_key")
-    with_set = attach(slim.where("set_key IS NOT NULL"), scratch.save(classed, "classes"), ["set_key"], n_sets).select("doc_id", "n_shingles", "component_id")
+    with_set = attach(slim.where("set_key IS NOT NULL"), scratch.save(classed, "classes"), ["set_key"], weigh(sets)).select("doc_id", "n_shingles", "component_id")
     out = with_set.unionByName(slim.where("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.exact_dedup import attach
+from leafmill.llm.exact_dedup import attach, weigh
 from leafmill.llm.scratch import Scratch, only, restrict
 from leafmill.llm.words import U64, Words, _table, grams, group_of, mix, runs, scan
 
@@ -209,8 +209,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k: i
     paths = scratch.save(texts.mapInArrow(_paths(window, k), "kmer bigint, span bigint, doc_id bigint, pos int, lo int, hi int"), "paths")
     shared = paths.groupBy("kmer").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("kmer", "n")
     shared = scratch.save(shared, "shared")
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    rows = scratch.save(attach(paths, shared, ["kmer"], total), "repeated")
+    rows = scratch.save(attach(paths, shared, ["kmer"], weigh(shared)), "repeated")
     scratch.drop(paths)
     involved = scratch.save(rows.select("doc_id").distinct(), "involved")
     own = scratch.save(restrict(texts, involved, involved.count(), "doc_id"), "texts")
@@ -218,7 +217,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k: i
     distinct = rows.groupBy(*PATH).agg(F.min(F.struct("doc_id", "pos")).alias("src"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     distinct = scratch.save(distinct, "distinct")
     ways = scratch.save(distinct.groupBy("kmer").agg(F.count("*").alias("n")), "ways")
-    routed = attach(distinct.withColumnRenamed("n", "uses"), ways.withColumn("ways", F.col("n")), ["kmer"], distinct.count())
+    routed = attach(distinct.withColumnRenamed("n", "uses"), ways.withColumn("ways", F.col("n")), ["kmer"], weigh(ways))
     routed = scratch.save(routed, "routed")
     run = lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.col("src.doc_id").alias("src"), F.col("src.pos").alias("at"))
     plain = routed.where("ways = 1 AND src.doc_id < last").select(*PATH, F.col("uses").alias("n"), F.array(run(-F.col("lo"), F.col("hi"))).alias("runs"))
@@ -229,14 +228,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k: i
     edges = scratch.save(edges, "edges")
     met = edges.groupBy("kmer", "j", "w").agg(F.min(F.struct("doc_id", "pos")).alias("src"), F.max("last").alias("latest"), F.count("*").alias("n")).where("src.doc_id < latest").drop("latest")
     met = scratch.save(met, "met")
-    hits = attach(edges.select(*PATH, "j", "w"), met, ["kmer", "j", "w"], edges.count()).select(*PATH, "j", "src")
+    hits = attach(edges.select(*PATH, "j", "w"), met, ["kmer", "j", "w"], weigh(met)).select(*PATH, "j", "src")
     island = F.col("j") - F.row_number().over(Window.partitionBy(*PATH, "src").orderBy("j"))
     merged = hits.withColumn("island", island).groupBy(*PATH, "src", "island").agg(F.min("j").alias("a"), F.max("j").alias("b"))
     merged = merged.groupBy(*PATH).agg(F.collect_list(run(F.col("a"), F.col("b"))).alias("runs"))
     forked = merged.join(forks.select(*PATH, F.col("uses").alias("n")), PATH).select(*PATH, "n", "runs")
 
     answers = scratch.save(plain.unionByName(forked), "answers")
-    found = attach(rows.select(*PATH, "doc_id", "pos"), answers, PATH, total).select("doc_id", "pos", F.explode("runs").alias("r")).where("r.src < doc_id")
+    found = attach(rows.select(*PATH, "doc_id", "pos"), answers, PATH, weigh(answers)).select("doc_id", "pos", F.explode("runs").alias("r")).where("r.src < doc_id")
     each = F.struct((F.col("pos") + F.col("r.a")).alias("start"), (F.col("r.b") - F.col("r.a") + 1).alias("count"), F.col("r.src").alias("src"), (F.col("r.at") + F.col("r.a")).alias("src_start"))
     spans = found.groupBy("doc_id").agg(F.collect_list(each).alias("runs")).mapInArrow(_chain(window), "doc_id bigint, start bigint, size bigint, src bigint, src_start bigint")
     spans = scratch.save(spans, "spans")
@@ -247,7 +246,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k: i
     asked = wanted.groupBy(F.col("src").alias("doc_id")).agg(F.collect_list(F.struct("src_start", "size")).alias("asked"))
     digests = own.join(asked, "doc_id").mapInArrow(_sources, "src bigint, src_start bigint, size bigint, digest binary").distinct()
     proved = scratch.save(digests.join(wanted, key), "digests")
-    return scratch.save(attach(spans, proved, key, spans.count()), "verified"), own
+    return scratch.save(attach(spans, proved, key, weigh(proved)), "verified"), own
 
 
 def substring_dedup(docs: DataFrame, scratch: Scratch | None = None, window: int = WINDOW, k: int = K) -> DataFrame:

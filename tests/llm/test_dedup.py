@@ -32,7 +32,7 @@ def test_hashes_depend_on_words_alone():
     assert grams(a, 3)[1] == grams(b, 3)[0] and grams(a, 2)[0] != grams(a, 2)[1]
 
 
-@pytest.mark.parametrize("block_bytes,hash_of", [(4096, F.xxhash64), (16, F.xxhash64), (16, lambda c: F.pmod(F.xxhash64(c), F.lit(3)))])
+@pytest.mark.parametrize("block_bytes,hash_of", [(4096, F.xxhash64), (exact_dedup.BLOCK_BYTES, F.xxhash64), (16, F.xxhash64), (16, lambda c: F.pmod(F.xxhash64(c), F.lit(3)))])
 def test_exact_dedup(spark, block_bytes, hash_of):
     """The last case makes nearly all blocks collide: names must still part them."""
     rows = [r for r in awkward() if r[0] is None or r[0] not in (9, 10, 11) or block_bytes > 16]
@@ -141,3 +141,13 @@ def test_substring_dedup_empty_and_repeats(spark):
     text = prose(3, 70)
     got = substrings.substring_dedup(frame(spark, [(1, text), (1, text), (1, prose(4, 70))])).collect()
     assert sorted(r.n_removed for r in got) == [0, 0, 0]
+
+
+def test_hot_names_go_by_broadcast(spark, monkeypatch):
+    """The same results where nearly every key counts as hot."""
+    monkeypatch.setattr(exact_dedup, "HOT_LEAST", 1)
+    rows = [(i, "same") for i in range(40)] + [(100 + i, prose(i % 3, 60)) for i in range(12)] + [(200, prose(9, 400))]
+    got = {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(frame(spark, rows), block_bytes=64).collect()}
+    assert got == {d: max(e for e, u in rows if u == t) for d, t in rows}
+    sets = {d: shingles(t) for d, t in rows}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(frame(spark, rows)).collect()} == components(sets)
