@@ -38,7 +38,8 @@ def words(text: str) -> Column:
 
 def shingles(rows: DataFrame, key: str, length: int, of) -> DataFrame:
     """(key, s): every shingle of ``length`` words in ``words``, made by ``of`` from the word columns."""
-    each = rows.where(F.size("words") >= length).select(key, "words", F.posexplode("words").alias("pos", "w"))
+    # The outer form, and no test of the size: either would be pushed down to the scan and split the text again.
+    each = rows.select(key, "words", F.posexplode_outer("words").alias("pos", "w"))
     here = [F.get("words", F.col("pos") + i) for i in range(length)]
     return each.where(F.col("pos") <= F.size("words") - length).select(key, of(here).alias("s"))
 
@@ -55,7 +56,7 @@ def leaks(docs: DataFrame, items: DataFrame, scratch: Scratch | None = None, per
     """(doc_id, item_id, n_shared, n_item) of documents that hold ``percent`` of an item's shingles."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "leaks")
-    texts = only(docs, "doc_id", "text").where("doc_id IS NOT NULL").select("doc_id", words("text").alias("words"))
+    texts = only(docs, "doc_id", "text").where("doc_id IS NOT NULL")
     asked = only(items, "item_id", "text").where("item_id IS NOT NULL").select("item_id", words("text").alias("words")).where(F.size("words") > 0)
     asked = scratch.save(asked.withColumn("width", F.least(F.size("words"), F.lit(size))), "items")
     out = None
@@ -79,10 +80,12 @@ def _of_width(texts: DataFrame, asked: DataFrame, width: int, scratch: Scratch,
     own = scratch.save(own, "shingles")
     rows = own.count()
     side = F.broadcast if rows <= BROADCAST_ROWS else (lambda x: x)
-    hits = shingles(texts, "doc_id", width, hashed).join(side(sketch), "s").select("doc_id", "item_id").distinct()
+    split = lambda rows: rows.select("doc_id", words("text").alias("words"))
+    hits = shingles(split(texts), "doc_id", width, hashed).join(side(sketch), "s").select("doc_id", "item_id").distinct()
     hits = scratch.save(hits, "candidates")
     wanted = scratch.save(hits.select("doc_id").distinct(), "wanted")
-    some = restrict(texts, wanted, wanted.count(), "doc_id")
+    # Only candidates are split into words again.
+    some = split(restrict(texts, wanted, wanted.count(), "doc_id"))
     counted = shingles(some, "doc_id", width, spelled).join(side(own), "s").select("doc_id", "item_id", "s").distinct()
     counted = counted.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     final = counted.join(side(sized.select("item_id", "n_item")), "item_id").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
