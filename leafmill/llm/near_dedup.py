@@ -35,8 +35,8 @@ from leafmill.llm.scratch import BROADCAST_ROWS, Scratch, only, restrict
 from leafmill.llm.words import grams, group_of, runs, scan
 
 SHINGLE, SKETCH, NEEDED, PERCENT = 5, 64, 26, 70
-#: Least estimate from a union sketch at which a pair is verified: 0.7 less over four standard errors.
-ESTIMATE = 0.45
+#: Least estimate from a union sketch at which a pair is verified: 0.7 less over five standard errors.
+ESTIMATE = 0.40
 STAR_ROUNDS, BUCKET_DOCS = 4, 1500
 
 
