@@ -64,7 +64,7 @@ def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
             for found in shingle_sets(batch["text"]):
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                kept.append(found[:k].view(np.int64))
+                kept.append(found[:k].view(np.int64).copy())  # a view would hold the whole set
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
             flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["doc_id", "n_shingles", "set_key", "sketch"])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 #: Rows that a broadcast side may have at most; beyond it joins are shuffled.
 BROADCAST_ROWS = 1_000_000
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own: list[str] = []
 
 
@@ -52,7 +53,13 @@ class Scratch:
 
     def save(self, df: DataFrame, what: str = "table") -> DataFrame:
         at = self.path(what)
-        df.write.option("compression", "zstd").parquet(at)
+        # Python tasks hold a few batches each; small ones keep their memory low whatever the texts' length.
+        default = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, "8m")
+        try:
+            df.write.option("compression", "zstd").parquet(at)
+        finally:
+            self.spark.conf.set(_BATCH, default)
         found = self.spark.read.schema(df.schema).parquet(at)
         found._scratch_path = at
         return found
