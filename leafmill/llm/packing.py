@@ -131,7 +131,8 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packed(fill: np.ndarray, members: pa.ListArray, capacity: int, level: int) -> pa.RecordBatch:
+def _packed(fill: np.ndarray, members: pa.ListArray, capacity: int, level: int, made: int) -> pa.RecordBatch:
+    """The bins of one chunk of a task that has made so many bins before."""
     bins = best_fit(fill, capacity)
     offsets, flat = members.offsets.to_numpy(), members.values
     order = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for b in bins for i in b]) if bins else np.zeros(0, np.int64)
@@ -140,7 +141,7 @@ def _packed(fill: np.ndarray, members: pa.ListArray, capacity: int, level: int)
     task = TaskContext.get()
     base = (level << 56) | ((task.partitionId() if task else 0) << 32)
     filled = pa.array([int(fill[b].sum()) for b in bins], pa.int32())
-    return pa.RecordBatch.from_arrays([filled, pa.array(base + np.arange(len(bins)), pa.int64()), pa.ListArray.from_arrays(bounds, flat.take(pa.array(order)))], schema=_BINS)
+    return pa.RecordBatch.from_arrays([filled, pa.array(base + made + np.arange(len(bins)), pa.int64()), pa.ListArray.from_arrays(bounds, flat.take(pa.array(order)))], schema=_BINS)
 
 
 def pack(cut: DataFrame, scratch: Scratch, size: int = SEQUENCE, fan_in: int = FAN_IN, task_items: int = TASK_ITEMS) -> DataFrame:
@@ -149,14 +150,17 @@ def pack(cut: DataFrame, scratch: Scratch, size: int = SEQUENCE, fan_in: int = F
     def gather(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
         # A task packs at most task_items at once, so its memory is bounded.
         held: list[pa.RecordBatch] = []
+        made = 0
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) >= task_items:
-                yield from work(held, level)
+                for bins in work(held, level, made):
+                    made += bins.num_rows
+                    yield bins
                 held = []
-        yield from work(held, level)
+        yield from work(held, level, made)
 
-    def work(held: list[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    def work(held: list[pa.RecordBatch], level: int, made: int) -> Iterator[pa.RecordBatch]:
         if not sum(b.num_rows for b in held):
             return
         table = pa.Table.from_batches(held).combine_chunks()
@@ -164,11 +168,11 @@ def pack(cut: DataFrame, scratch: Scratch, size: int = SEQUENCE, fan_in: int = F
             members = table["members"].chunk(0)
             if members.offset:
                 members = pa.concat_arrays([members, members.slice(0, 0)])
-            yield _packed(table["fill"].to_numpy().astype(np.int64), members, size, level)
+            yield _packed(table["fill"].to_numpy().astype(np.int64), members, size, level, made)
         else:
             flat = pa.StructArray.from_arrays([table[f.name].chunk(0).cast(f.type) for f in MEMBER], fields=list(MEMBER))
             each = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1), pa.int32()), flat)
-            yield _packed(table["length"].to_numpy(), each, size, 0)
+            yield _packed(table["length"].to_numpy(), each, size, 0, made)
 
     schema = f"fill int, sequence_id bigint, members {MEMBERS}"
     full = size - NEARLY_FULL

@@ -74,6 +74,29 @@ def test_packing(spark, fan_in, task_items):
     assert len(by) <= least * (1.02 if task_items > 10 else 1.5) + 1
 
 
+def test_packing_numbers_the_bins_of_every_chunk(spark):
+    """Tasks of several chunks, at the first level and at later ones."""
+    from leafmill.llm.scratch import Scratch
+
+    lengths = [1024 if i % 3 else 5 + i % 700 for i in range(120)]
+    cut = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint").coalesce(2)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    default = spark.conf.get(batch)
+    spark.conf.set(batch, "5")
+    try:
+        placed = packing.pack(cut, Scratch(spark, "t"), fan_in=2, task_items=10).collect()
+    finally:
+        spark.conf.set(batch, default)
+    assert sorted((r.doc_id, r.length) for r in placed) == list(enumerate(lengths))
+    by = collections.defaultdict(list)
+    for r in placed:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        parts.sort()
+        assert [at for at, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert sum(n for _, n in parts) <= 1024
+
+
 def test_sequences_round_trip(spark):
     docs = frame(spark, [(i, prose(i, 30 * i)) for i in range(1, 15)] + [(20, None)])
     placed = packing.pack_documents(docs)
