@@ -3,9 +3,10 @@
 Pages of one host are compared in groups.  A token (a tag with its class, id
 and role, or a run of text) has an occurrence vector: how often it occurs on
 each page of the group.  Tokens with equal vectors form an equivalence class.
-A class is valid if its tokens come in the same order on every page and, for
-classes other than the root's (once on each page), if they nest in one slot of
-the root.  The root's tokens are the template, the gaps between them its
+The root class holds the tokens that occur once on most pages of one layout;
+pages that lack some of them keep the others.  A class is valid if its tokens
+come in the same order (the root's on most pages) and, for classes other than
+the root's, if they nest in one slot of the root.  The root's tokens are the template, the gaps between them its
 slots.  Template text is not content; a slot whose nested class is made of
 links is a menu.  What remains of a page is the text of its slots outside
 elements whose template tokens say menu, header, footer, sidebar, notice,
@@ -15,7 +16,9 @@ one.
 Groups hold about GROUP pages: a larger host is split by a hash of the page,
 each part with a template of its own, so that no task holds a host.  A group
 of fewer than MIN_PAGES pages has no template and is read by element roles
-alone.  Text inside an article is never taken for template, so that copies of
+alone.  Pages are parted by layout, each with a template; layouts of fewer
+pages than that use the template of all pages.  Copies of a page count once
+and pages without tokens not at all.  Text inside an article is never taken for template, so that copies of
 one article on a host keep their text.
 
 Blocks are split at block-level tags; a line break is white space.  Character
@@ -29,8 +32,9 @@ belongs to the host ''; repeated pages are each extracted; page_id may be null.
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -67,6 +71,8 @@ _ROLE = re.compile(
 )
 #: Headers are menus' and logos' place on a page, but in an article they hold its own title.
 _HEADER = re.compile(r"^(?:headers?|banner)$", re.I)
+#: Tags that, without class, id and role, belong to what a page says and not to its layout.
+_CONTENT = frozenset("a abbr b blockquote br cite code dd dl dt em figcaption figure h1 h2 h3 h4 h5 h6 hr i img li ol p pre q s small span strong sub sup table tbody td th thead tr u ul".split())
 _PLAIN = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
 
 
@@ -115,16 +121,17 @@ def _add_text(out: list[Token], raw: str) -> None:
 
 @dataclass
 class Template:
-    """The root class in order, and which of its slots are menus."""
+    """Of each page its template text and where its slots begin (places and slots, in order); which slots are menus."""
 
-    keys: list[str] = field(default_factory=list)
+    fixed: list[set[int]]
+    begins: list[tuple[list[int], list[int]]]
     menus: set[int] = field(default_factory=set)
 
 
-def _within_article(tokens: list[Token]) -> list[bool]:
+def _within(tokens: list[Token], *names: str) -> list[bool]:
     depth, out = 0, []
     for t in tokens:
-        if t.name in ("article", "main"):
+        if t.name in names:
             depth = max(0, depth + (-1 if t.end else 1))
         out.append(depth > 0)
     return out
@@ -134,63 +141,109 @@ def occurrences(pages: list[list[Token]]) -> dict[str, dict[int, list[int]]]:
     """For each token the pages where it occurs and its places there; text inside articles doesn't count."""
     found: dict[str, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for p, tokens in enumerate(pages):
-        inside = _within_article(tokens)
+        inside = _within(tokens, "article", "main")
         for i, t in enumerate(tokens):
             if t.key is not None and not (t.name == "#text" and inside[i]):
                 found[t.key][p].append(i)
     return found
 
 
+def layouts(pages: list[list[Token]], min_pages: int = MIN_PAGES) -> list[list[int]]:
+    """Pages parted by layout: those that share at least half of the tags that make it up."""
+    tags = [{t.key for t in tokens if t.key and t.name[0] != "#" and not t.end and (t.name not in _CONTENT or not t.key.endswith(" >"))} for tokens in pages]
+    count = Counter(key for keys in tags for key in keys)
+    tags = [{key for key in keys if count[key] >= min_pages} for keys in tags]
+    found: list[tuple[set[str], list[int]]] = []
+    for p in sorted(range(len(pages)), key=lambda p: -len(tags[p])):
+        shared = [len(tags[p] & first) / (len(tags[p] | first) or 1) if tags[p] or first else 1.0 for first, _ in found]
+        if shared and max(shared) >= 0.5:
+            found[shared.index(max(shared))][1].append(p)
+        else:
+            found.append((tags[p], [p]))
+    return [sorted(members) for _, members in found]
+
+
+def _merged(sequences: list[list[str]]) -> list[str]:
+    """All keys in an order that follows the longest sequence, then what others have between its keys."""
+    out: list[str] = []
+    known: set[str] = set()
+    for keys in sorted(sequences, key=len, reverse=True):
+        before = None
+        for key in keys:
+            if key not in known:
+                out.insert(0 if before is None else out.index(before) + 1, key)
+                known.add(key)
+            before = key
+    return out
+
+
 def deduce(pages: list[list[Token]], min_pages: int = MIN_PAGES) -> Template:
     n = len(pages)
+    template = Template([set() for _ in pages], [([], []) for _ in pages])
     if n < min_pages:
-        return Template()
-    classes: dict[tuple, list[str]] = defaultdict(list)
+        return template
     found = occurrences(pages)
+    links = [_within(tokens, "a") for tokens in pages]
+    need = max(min_pages, n // 2 + 1)
+    root: dict[str, dict[int, int]] = {}
+    classes: dict[tuple, list[str]] = defaultdict(list)
     for key, places in found.items():
+        once = {p: at[0] for p, at in places.items() if len(at) == 1}
+        if len(once) >= need:
+            # Links that only most pages have are template text, but their slot stays whole: it may be a menu.
+            if len(once) == n or not (key.startswith("<a ") or any(links[p][i] for p, i in once.items())):
+                root[key] = once
+                continue
+            for p, i in once.items():
+                if pages[p][i].name == "#text":
+                    template.fixed[p].add(i)
         classes[tuple((p, len(at)) for p, at in sorted(places.items()))].append(key)
-    root = classes.pop(tuple((p, 1) for p in range(n)), [])
-    # Ordered: keep tokens in the first page's order as long as no page disagrees.
-    root.sort(key=lambda k: found[k][0][0])
-    keys: list[str] = []
-    last = [-1] * n
-    for key in root:
-        at = [found[key][p][0] for p in range(n)]
-        if all(a > b for a, b in zip(at, last, strict=True)):
-            keys.append(key)
-            last = at
-    bounds = [[found[k][p][0] for k in keys] for p in range(n)]
+    # Ordered: keep tokens that come in one order on most pages, there where they do.
+    placed: list[list[tuple[int, str]]] = [[] for _ in pages]
+    for key, once in root.items():
+        for p, i in once.items():
+            placed[p].append((i, key))
+    last, slot = [-1] * n, 0
+    for key in _merged([[k for _, k in sorted(page)] for page in placed]):
+        at = {p: i for p, i in root[key].items() if i > last[p]}
+        if len(at) < need:
+            continue
+        slot += 1
+        for p, i in at.items():
+            last[p] = i
+            template.begins[p][0].append(i)
+            template.begins[p][1].append(slot)
+            if pages[p][i].name == "#text":
+                template.fixed[p].add(i)
     menus: dict[int, list[bool]] = defaultdict(list)
     for vector, members in classes.items():
         if len(vector) * 2 < n:
             continue  # too few pages support it
-        slots = {_slot(bounds[p], i) for key in members for p, at in found[key].items() for i in at}
+        slots = {_slot(template.begins[p], i) for key in members for p, at in found[key].items() for i in at}
         if len(slots) == 1:  # nested: all of the class lies in one slot of the root
             menus[slots.pop()] += [k.startswith("<a ") for k in members if k[0] == "<" and k[1] != "/"]
     linked = {s for s, kinds in menus.items() if any(kinds)}
     texts: dict[int, list[int]] = defaultdict(lambda: [0, 0])
     for p, tokens in enumerate(pages):
-        depth = 0
         for i, t in enumerate(tokens):
-            if t.name == "a":
-                depth = max(0, depth + (-1 if t.end else 1))
-            elif t.name == "#text" and t.key and (s := _slot(bounds[p], i)) in linked:
-                texts[s][depth > 0] += len(t.key)
-    return Template(keys, {s for s, (plain, link) in texts.items() if link > 4 * plain})
-
+            if t.name == "#text" and t.key and (s := _slot(template.begins[p], i)) in linked:
+                texts[s][links[p][i]] += len(t.key)
+    template.menus = {s for s, (plain, link) in texts.items() if link > 4 * plain}
+    return template
 
-def _slot(bounds: list[int], place: int) -> int:
-    import bisect
 
-    return bisect.bisect_right(bounds, place)
+def _slot(begins: tuple[list[int], list[int]], place: int) -> int:
+    k = bisect.bisect_right(begins[0], place)
+    return begins[1][k - 1] if k else 0
 
 
-def blocks(tokens: list[Token], template: Template) -> list[str]:
-    """The blocks of the main text of one page."""
+def blocks(tokens: list[Token], template: Template | None = None, page: int = 0) -> list[str]:
+    """The blocks of the main text of one page, which is that page of the template's."""
     has_article = any(t.name in ("article", "main") and not t.end for t in tokens)
     stack: list[tuple[str, bool]] = []
     dropped = article = slot = 0
-    following = template.keys
+    template_text, menus = (template.fixed[page], template.menus) if template else (set(), set())
+    begins = dict(zip(*template.begins[page], strict=True)) if template else {}
     out: list[str] = []
     held: list[str] = []
 
@@ -206,13 +259,13 @@ def blocks(tokens: list[Token], template: Template) -> list[str]:
             dropped -= role
             article -= name in ("article", "main")
 
-    for t in tokens:
-        fixed = slot < len(following) and t.key == following[slot]
-        slot += fixed
+    for place, t in enumerate(tokens):
+        fixed = place in template_text
+        slot = begins.get(place, slot)
         if t.name == "#raw":
             continue
         if t.name == "#text":
-            if not dropped and (article or not has_article) and not (fixed and not article) and (article or slot not in template.menus):
+            if not dropped and (article or not has_article) and not (fixed and not article) and (article or slot not in menus):
                 held.append(t.text)
             continue
         if t.name in _BLOCK:
@@ -254,9 +307,19 @@ def blocks(tokens: list[Token], template: Template) -> list[str]:
 
 def extract(htmls: list[str | None]) -> list[str]:
     """The main texts of pages of one host."""
-    pages = [tokenize(h or "") for h in htmls]
-    template = deduce(pages)
-    return ["\n\n".join(blocks(p, template)) for p in pages]
+    tokens = {h: tokenize(h) for h in sorted({h for h in htmls if h})}
+    # Copies of a page count once and pages without tokens not at all.
+    used = [h for h, page in tokens.items() if any(t.key is not None for t in page)]
+    pages = [tokens[h] for h in used]
+    parts = layouts(pages)
+    # What has too few pages of its layout is held against all pages.
+    whole = deduce(pages) if any(len(part) < MIN_PAGES for part in parts) else None
+    texts = dict.fromkeys(tokens, "")
+    for part in parts:
+        own = deduce([pages[p] for p in part]) if len(part) >= MIN_PAGES else None
+        for k, p in enumerate(part):
+            texts[used[p]] = "\n\n".join(blocks(pages[p], own, k) if own else blocks(pages[p], whole, p))
+    return [texts[h] if h else "" for h in htmls]
 
 
 def host_of(url):

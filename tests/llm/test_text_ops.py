@@ -209,6 +209,22 @@ def test_html(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_of_a_host_with_null_and_odd_pages(spark):
+    """Neutral names and no article: only the template tells what is boilerplate."""
+    html = lambda i: f"<body><div class=top>Our site</div><div class=body><p>Body {i}<p>Text {i}</div><div class=last>Always here</div>" + "<div class=x>Also mostly</div>" * (i > 1)
+    other = lambda i: f"<body><table class=grid id=g><tr class=r><td class=left>Fixed cell<td class=right>Cell {i}</table><div class=low>Low line</div>"
+    hosts = {"null": [None], "empty": ["", " "], "odd": ["<section class=q><p>Odd words"], "lacks": ["<body><div class=top>Our site</div><div class=body><p>Lone</div>"], "both": [None, "<section class=q><p>Odd words"], "two": [other(i) for i in range(9)]}
+    rows = [(n, f"http://{h}.org/", t) for h, more in hosts.items() for n, t in enumerate([html(i) for i in range(12)] + more)]
+    rows += [(n, "http://copies.org/", "<p>Same words") for n in range(4)]
+    got = {(r.url[7:-5], r.page_id): r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for h in hosts:
+        assert [got[h, i] for i in range(12)] == [f"Body {i}\n\nText {i}" for i in range(12)], h
+    assert got["null", 12] == got["empty", 12] == got["empty", 13] == got["both", 12] == ""
+    assert got["odd", 12] == got["both", 13] == "Odd words" and got["lacks", 12] == "Lone"
+    assert [got["two", 12 + i] for i in range(9)] == [f"Cell {i}" for i in range(9)]
+    assert [got["copies", n] for n in range(4)] == ["Same words"] * 4
+
+
 def test_html_split_groups_agree(spark):
     rows = [(i, "http://h.org/", f"<nav>{i}</nav><article><p>text {i}</p></article>") for i in range(40)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
