@@ -250,6 +250,23 @@ def test_secrets(spark):
     assert secrets.secret_spans(frame(spark, [(1, None), (2, "token: abcdef")])).count() == 2
 
 
+def test_long_candidates_are_seen_whole(spark, monkeypatch):
+    """A network that looks for Z alone finds it wherever in a candidate it is, and not in the context."""
+    embed, conv = np.zeros((256, secrets.EMBED)), np.zeros((secrets.REACH * secrets.EMBED, secrets.FILTERS))
+    embed[ord("Z") | 128, 0], conv[0, 0] = 1, 1
+    net = secrets.Network(embed, conv, np.zeros(secrets.FILTERS), np.eye(1, secrets.FILTERS)[0] * 9, -4.0, threshold=0.5)
+    rows = [(k, "see " + ("g1" * 300)[:k] + "Z" + ("b-" * 300)[: 500 - k] + "2 é Z") for k in range(0, 501, 7)] + [(1000, "Z " + "g1" * 250 + " Z"), (1001, "g1" * 10 + "Z"), (1002, "g1" * 20)]
+    for at_once in (1 << 15, 3):
+        monkeypatch.setattr(secrets, "AT_ONCE", at_once, raising=False)
+        got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in secrets.scan(frame(spark, rows), net).collect()}
+        assert got == {**{k: [("cnn", 4, 506)] for k in range(0, 501, 7)}, 1000: [], 1001: [("cnn", 0, 21)], 1002: []}
+    for n in (16, 48, 49, 96, 97, 145, 1000):
+        at = secrets.windows(30, 30 + n)
+        assert at[0] == 30 - secrets.CONTEXT and len(secrets.shown("x" * 30 + "q" * n, 30, 30 + n)) == len(at)
+        assert all(any(a <= i and i + min(n, secrets.SHOWN) <= a + secrets.LENGTH for a in at) for i in range(30, 31 + n - min(n, secrets.SHOWN)))
+    assert secrets.labelled([("hex", 300, 340)], 100, 600) == [None if 0 < min(340, a + 96) - max(300, a) < 16 else max(300, a) < min(340, a + 96) for a in secrets.windows(100, 600)]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="aAf0 9-=_:\"'tokenAKIZ\n", max_size=60), min_size=1, max_size=5))
 def test_nothing_is_overlooked(texts):
