@@ -267,6 +267,14 @@ def test_long_candidates_are_seen_whole(spark, monkeypatch):
     assert secrets.labelled([("hex", 300, 340)], 100, 600) == [None if 0 < min(340, a + 96) - max(300, a) < 16 else max(300, a) < min(340, a + 96) for a in secrets.windows(100, 600)]
 
 
+def test_threshold_keeps_recall_where_findings_are_hard_to_tell():
+    draw = np.random.default_rng(5)
+    codes, y = draw.integers(33, 127, (2000, secrets.LENGTH)).astype(np.uint8), (draw.random(2000) < 0.1).astype(int)
+    net = secrets.train(codes, y, seed=11)
+    held = np.random.default_rng(11).permutation(len(y))[: len(y) // 4]
+    assert (net.score(codes[held][y[held] == 1]) >= net.threshold).mean() >= secrets.RECALL
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="aAf0 9-=_:\"'tokenAKIZ\n", max_size=60), min_size=1, max_size=5))
 def test_nothing_is_overlooked(texts):
