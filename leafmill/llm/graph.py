@@ -61,8 +61,8 @@ def components(edges: DataFrame, scratch: Scratch, task_edges: int = TASK_EDGES,
     state = edges
     while True:
         new = _stars(_stars(state, True, scratch), False, scratch)
-        # Settled when every edge leads to a centre that has none of its own.
-        done = new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty()
+        # Settled when every node has one centre, and that has no edge of its own.
+        done = new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty() and new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
         state = new
         if done:
             break

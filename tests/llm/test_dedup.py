@@ -110,6 +110,13 @@ def test_components(spark, task_edges):
     assert got == {**{i: 100 for i in range(100, 141)}, 3: 3, 5: 3, 9: 3, 50: 1, 1: 1, 200: 200, **{201 + i: 200 for i in range(30)}}
 
 
+@pytest.mark.parametrize("task_edges", [10**6, 0])
+def test_components_of_a_path_whose_first_round_leaves_two_centres(spark, task_edges):
+    path = [(1, 3), (3, 4), (4, 5), (5, 2)]
+    got = sorted((r.node, r.component) for r in graph.components(spark.createDataFrame(path, "a bigint, b bigint"), Scratch(spark, "t"), task_edges).collect())
+    assert got == [(i, 1) for i in range(1, 6)]
+
+
 def removed(rows, window):
     first = {}
     for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
