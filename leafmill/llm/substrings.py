@@ -189,7 +189,7 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bounds, start, size, digest = _fields(batch["spans"], "start", "size", "digest")
-        lost, shas = [], []
+        lost, shas, own = [], [], []
         for a, b, data, offsets in runs(batch["text"]):
             words = scan(data, offsets)
             keep = np.ones(len(words.start), bool)
@@ -200,7 +200,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         keep[lo : lo + size[i]] = False
             lost += (words.counts() - np.diff(np.r_[0, np.cumsum(keep)][words.first])).tolist()
             shas += [hashlib.sha256(x).hexdigest() for x in joined(words, keep)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lost, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_removed", "kept"])
+            own += [hashlib.sha256(x).hexdigest() for x in joined(words, np.ones(len(keep), bool))]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(own, pa.string()), pa.array(lost, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "sha", "n_removed", "kept"])
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame]:
@@ -254,9 +255,10 @@ def substring_dedup(docs: DataFrame, scratch: Scratch | None = None, window: int
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     spans, own = repeated_spans(docs, scratch, window, k)
     per = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "digest")).alias("spans"))
-    cut = scratch.save(own.join(per, "doc_id").mapInArrow(_removed, "doc_id bigint, n_removed bigint, kept string").distinct(), "cut")
+    cut = scratch.save(own.join(per, "doc_id").mapInArrow(_removed, "doc_id bigint, sha string, n_removed bigint, kept string").distinct(), "cut")
     whole = only(docs, "doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_whole, "doc_id bigint, n_words bigint, sha string")
-    return whole.join(cut, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
+    # Texts may share a doc_id: the digest of a text's words tells whose result it is.
+    return whole.join(cut, ["doc_id", "sha"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

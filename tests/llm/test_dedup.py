@@ -150,6 +150,13 @@ def test_substring_dedup_empty_and_repeats(spark):
     assert sorted(r.n_removed for r in got) == [0, 0, 0]
 
 
+def test_substring_dedup_of_texts_that_share_a_doc_id(spark):
+    passage, other = prose(3, 70), prose(5, 90)
+    rows = [(1, passage), (5, passage + " tail"), (5, other), (5, other), (5, None)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substring_dedup(frame(spark, rows)).collect())
+    assert got == sorted((d, *removed([rows[0], (d, t)] if d > 1 else rows[:1], 50)[d]) for d, t in rows)
+
+
 def test_hot_names_go_by_broadcast(spark, monkeypatch):
     """The same results where nearly every key counts as hot."""
     monkeypatch.setattr(exact_dedup, "HOT_LEAST", 1)
