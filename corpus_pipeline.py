@@ -3,7 +3,8 @@
 Each stage takes documents and all but the last return documents with the
 columns they came with.  A stage computes the ids it drops, writes them to the
 shared folder, and takes them off its input by an anti join: broadcast while
-they are few, shuffled beyond that.  Rows without doc_id can't be named by a
+they are few, shuffled beyond that.  Exact dedup drops texts, not whole ids,
+and keeps one of the rows that agree in doc_id and text.  Rows without doc_id can't be named by a
 stage that drops ids; they pass through those and are left out by packing.
 """
 
@@ -11,7 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmill.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 from leafmill.llm.scratch import BROADCAST_ROWS, Scratch, broadcast
@@ -20,16 +22,40 @@ _last: list[Scratch] = []
 
 
 def _without(docs: DataFrame, dropped: Callable[[Scratch], DataFrame], what: str) -> DataFrame:
-    """docs without the doc_ids that ``dropped`` names."""
+    """docs without the doc_ids that ``dropped`` names; where it has text_sha256, without the texts it names of them."""
     spark = docs.sparkSession
     # The table before this one was read when its stage's result was written.
     while _last:
         _last.pop().drop()
     work, own = Scratch(spark, what), Scratch(spark, f"{what}-ids")
-    ids = own.save(dropped(work).select("doc_id").distinct(), "dropped")
+    named = dropped(work)
+    keys = [c for c in named.columns if c in ("doc_id", "text_sha256")]
+    ids = own.save(named.select(*keys).distinct(), "dropped")
     work.drop()
     _last.append(own)
-    return docs.join(broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)
+    same = docs["doc_id"] == ids["doc_id"]
+    if "text_sha256" in keys:
+        same &= _digest(docs["text"]) == ids["text_sha256"]
+    return docs.join(broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, same, "left_anti").select(*docs.columns)
+
+
+def _digest(text: Column) -> Column:
+    """As exact_dedup's text_sha256: a null text counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def _once(docs: DataFrame, source: DataFrame) -> DataFrame:
+    """docs with one of the rows that agree in doc_id and text; only rows whose doc_id repeats in source are shuffled for it."""
+    own = Scratch(docs.sparkSession, "repeated")
+    again = own.save(source.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "ids")
+    n = again.count()
+    if not n:
+        own.drop()
+        return docs
+    _last.append(own)
+    keys = broadcast(again) if n <= BROADCAST_ROWS else again
+    repeated = docs.join(keys, "doc_id", "left_semi").select(*docs.columns, _digest(F.col("text")).alias("_text_digest"))
+    return docs.join(keys, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated.dropDuplicates(["doc_id", "_text_digest"]).drop("_text_digest"))
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +66,7 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, lambda work: exact_dedup.exact_dedup(docs, work).where("NOT kept"), "copies")
+    return _once(_without(docs, lambda work: exact_dedup.exact_dedup(docs, work).where("NOT kept").select("doc_id", "text_sha256"), "copies"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import corpus_pipeline
 from leafmill.llm import quality
 from leafmill.llm.queries import ORACLE, QUERIES
 from leafmill.llm.scratch import Scratch
-from tests.llm.cases import folded, words
+from tests.llm.cases import folded, frame, words
 from tests.llm.test_dedup import components, shingles
 
 SF = "/root/testdata/sf0.001"
@@ -36,6 +36,15 @@ def test_stages_return_documents(spark):
         assert out.columns == docs.columns and out.count() == 0, name
 
 
+def test_copies_of_repeated_rows(spark):
+    """One of identical rows stays, and a copied text takes no other text of its doc_id with it."""
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (3, "c"), (3, "c"), (4, None), (4, ""), (5, "d"), (None, "z"), (None, "z")]
+    docs = frame(spark, rows)
+    out = corpus_pipeline.drop_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, "z"), (0, "z"), (1, "b"), (2, "a"), (3, "c"), (4, ""), (5, "d")]
+
+
 def test_every_operator_has_its_query():
     assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for i in range(1, 11) for n in QUERIES if n.startswith(f"op{i}_")]
     assert len(QUERIES) == 10 and set(ORACLE) <= set(QUERIES)
