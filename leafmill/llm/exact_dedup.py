@@ -11,9 +11,11 @@ a block that a third of all documents share is moved once a map task.  What
 goes back to the documents are numbers.  Names that more than a bounded
 number of rows carry go back by broadcast, the rest by a shuffled join.
 
-Cases: a null text counts as empty; empty texts equal one another; identical
-rows with one doc_id count as one document, different texts with one doc_id as
-separate ones; rows without doc_id are no documents and are left out.
+Cases: a null text counts as empty; empty texts equal one another; an empty
+table gives an empty one; every row is a document of its own: repeated rows
+each count, have a row in the result and stay or go together, and texts that
+share a doc_id are told apart; rows without doc_id are no documents and are
+left out; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ def named(groups: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def block_identity(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES, hash_of=F.xxhash64) -> DataFrame:
-    """(doc_id, text_key, n_blocks, name, text_sha256) of each document."""
+    """(doc_id, text_key, n_blocks, name, text_sha256, copies) of each document; copies: rows that agree in doc_id and text."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     texts = only(docs, "doc_id", "text").where("doc_id IS NOT NULL").withColumn("raw", raw)
     count = F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / block_bytes)).cast("int")
@@ -70,7 +72,8 @@ def block_identity(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_B
     hashes = F.transform(blocks, lambda b: hash_of(b))
     marked = scratch.save(
         texts.select("doc_id", F.sha2("raw", 256).alias("text_sha256"), hashes.alias("hashes"), F.size(hashes).alias("n_blocks"))
-        .withColumn("text_key", F.xxhash64("hashes", "text_sha256")).dropDuplicates(["doc_id", "text_key", "text_sha256"]),
+        .withColumn("text_key", F.xxhash64("hashes", "text_sha256")).groupBy("doc_id", "text_key", "text_sha256")
+        .agg(F.first("hashes").alias("hashes"), F.first("n_blocks").alias("n_blocks"), F.count("*").alias("copies")),
         "documents",
     )
     occurrences = marked.select("doc_id", "text_key", "n_blocks", F.posexplode("hashes").alias("pos", "h"))
@@ -111,11 +114,11 @@ def block_identity(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_B
         rest = level.where(left > 1)
     whole = reduce(DataFrame.unionByName, done)
     keys = ["doc_id", "text_key"]
-    return whole.join(marked.select(*keys, "text_sha256"), keys)
+    return whole.join(marked.select(*keys, "text_sha256", "copies"), keys)
 
 
 def exact_dedup(docs: DataFrame, scratch: Scratch | None = None, block_bytes: int = BLOCK_BYTES, hash_of=F.xxhash64) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the one with the largest doc_id is kept.
     """
@@ -123,9 +126,8 @@ def exact_dedup(docs: DataFrame, scratch: Scratch | None = None, block_bytes: in
     identity = block_identity(docs, scratch, block_bytes, hash_of)
     identity = scratch.save(identity, "identity")
     key = ["n_blocks", "name"]
-    groups = scratch.save(identity.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), "groups")
-    sized = groups.withColumn("group_size", F.col("n"))
-    out = attach(identity, sized, key, weigh(groups))
+    groups = scratch.save(identity.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"), F.sum("copies").alias("group_size")), "groups")
+    out = attach(identity, groups, key, weigh(groups)).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 

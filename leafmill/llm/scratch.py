@@ -1,7 +1,7 @@
 """Tables that cut lineage, in the folder all executors share.
 
 The folder is the session's ``spark.checkpoint.dir``; a temporary one is made
-only where that setting is absent, as in tests on one machine.
+only where that setting is absent and Spark runs in one process, as in tests.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast side may have at most; beyond it joins are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows of numbers that a broadcast side may have at most, and its bytes where it holds texts; beyond it joins are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 1 << 26
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own: list[str] = []
@@ -25,6 +25,8 @@ _own: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder, and a cluster's machines share no temporary one")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="leafmill-"))
             atexit.register(shutil.rmtree, _own[0], True)
@@ -82,7 +84,7 @@ def only(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def restrict(rows: DataFrame, keys: DataFrame, n_keys: int, on: str) -> DataFrame:
+def restrict(rows: DataFrame, keys: DataFrame, n_keys: int, on: str | list[str]) -> DataFrame:
     """Rows whose key is in ``keys`` (of n_keys rows): broadcast while that is small, else shuffled."""
     return rows.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys.hint("shuffle_hash"), on, "left_semi")
 

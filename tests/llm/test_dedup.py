@@ -49,8 +49,8 @@ def test_exact_dedup(spark, block_bytes, hash_of):
 
 
 def test_exact_dedup_repeated_rows_and_empty(spark):
-    got = exact_dedup.exact_dedup(frame(spark, [(1, "a"), (1, "a"), (2, "a"), (1, "b")])).collect()
-    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(1, 1, 1), (1, 2, 2), (2, 2, 2)]
+    got = exact_dedup.exact_dedup(frame(spark, [(1, "a"), (1, "a"), (2, "a"), (2, "a"), (1, "b")])).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 1, 1, True), (1, 2, 4, False), (1, 2, 4, False), (2, 2, 4, True), (2, 2, 4, True)]
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
@@ -98,6 +98,43 @@ def test_near_dedup(spark, star_rounds):
     assert {d: (r.n_shingles, r.component_id, r.kept) for d, r in got.items()} == {d: (len(s), want[d], want[d] == d) for d, s in sets.items()}
 
 
+@pytest.mark.parametrize("size,core,n", [(10, 7, 400), (200, 140, 90)])
+def test_a_list_of_sets_that_share_a_core_is_not_expanded(spark, size, core, n):
+    """All share ``core`` of their shingles, a little less than the similarity asks; candidates stay linear."""
+    shared = [f"c{i}" for i in range(core + 4)]
+    rows = [(i, " ".join(shared + [f"u{i}x{j}" for j in range(size - core)])) for i in range(n)]
+    rows += [(n + i, rows[i][1].rsplit(" ", 1)[0] + f" v{i}") for i in range(0, n, 10)] + [(3 * n, " ".join(shared[:-1] + ["end"]))]
+    sets = {d: shingles(t) for d, t in rows}
+    assert all(len(s) == size for d, s in sets.items() if d < 3 * n)
+    counts = []
+    got = {r.doc_id: r.component_id for r in near_dedup.near_rows(frame(spark, rows), Scratch(spark, "t"), counts=counts).collect()}
+    assert got == components(sets)
+    assert sum(counts) <= near_dedup.STAR_ROUNDS * near_dedup.HUBS * len(rows) and len(counts) <= near_dedup.STAR_ROUNDS + 2
+
+
+def test_candidates_grow_with_the_rows(spark):
+    """Ten times the rows of one core make about ten times the candidates, not a hundred."""
+    shared, total = [f"c{i}" for i in range(11)], []
+    for n in (200, 2000):
+        counts = []
+        rows = [(i, " ".join(shared + [f"u{i}x{j}" for j in range(3)])) for i in range(n)]
+        got = near_dedup.near_rows(frame(spark, rows), Scratch(spark, "t"), counts=counts)
+        assert got.select("component_id").distinct().count() == n
+        total.append(sum(counts))
+    assert total[1] <= 12 * total[0]
+
+
+def test_near_dedup_of_rows_that_share_a_doc_id(spark):
+    a, b = prose(11, 200), prose(12, 200)
+    rows = [(1, a), (1, b), (2, edited(a, 1, 0.01)), (3, edited(b, 2, 0.01)), (3, edited(b, 2, 0.01)), (4, prose(13, 50)), (4, None), (4, None)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(frame(spark, rows)).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (4, 4, True)]
+    # Sharing a doc_id links nothing: b's copy isn't in a's component.
+    rows = [(5, a), (5, b), (1, edited(a, 1, 0.01))]
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_dedup(frame(spark, rows)).collect())
+    assert got == [(1, 1), (5, 1), (5, 5)]
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.near_dedup(frame(spark, [])).count() == 0
     assert [r.kept for r in near_dedup.near_dedup(frame(spark, [(3, None), (4, " ")])).collect()] == [True, True]

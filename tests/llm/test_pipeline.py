@@ -4,7 +4,7 @@ import corpus_pipeline
 from leafmill.llm import quality
 from leafmill.llm.queries import ORACLE, QUERIES
 from leafmill.llm.scratch import Scratch
-from tests.llm.cases import folded, frame, words
+from tests.llm.cases import folded, frame, prose, words
 from tests.llm.test_dedup import components, shingles
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +45,28 @@ def test_copies_of_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, "z"), (0, "z"), (1, "b"), (2, "a"), (3, "c"), (4, ""), (5, "d")]
 
 
+def test_stages_compose_lazily_and_judge_rows_by_their_own_text(spark):
+    a, b = prose(1, 90), prose(2, 90)
+    rows = [(1, a), (1, b), (2, a), (3, "q r s t u"), (3, "q r s t u"), (4, a + " end"), (5, b + " end"), (6, None), (7, ""), (None, a)]
+    docs = frame(spark, rows)
+    first = corpus_pipeline.drop_copies(spark, docs, SF)
+    out = corpus_pipeline.drop_leaks(spark, corpus_pipeline.drop_near_copies(spark, first, SF), SF)
+    # (2, a) stays of the copies and so leads its near copy 4; (1, b) leads 5; 7 stays of the empty ones.
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, a), (1, b), (2, a), (3, "q r s t u"), (7, "")]
+    near = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert near.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in near.collect()) == sorted([(0, a), (1, a), (1, b), (3, "q r s t u"), (6, ""), (7, "")])
+    # Two near copies that share a doc_id: one stays.
+    both = corpus_pipeline.drop_near_copies(spark, frame(spark, [(8, a), (8, a + " end"), (9, b)]), SF).collect()
+    assert sorted(r.doc_id for r in both) == [8, 9]
+
+
+def test_a_leaking_row_takes_no_other_row_of_its_doc_id_with_it(spark):
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    out = corpus_pipeline.drop_leaks(spark, frame(spark, [(1, prose(5, 40)), (1, "so " + leak), (2, leak), (3, None)]), SF)
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(1, prose(5, 40)), (3, "")]
+
+
 def test_every_operator_has_its_query():
     assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for i in range(1, 11) for n in QUERIES if n.startswith(f"op{i}_")]
     assert len(QUERIES) == 10 and set(ORACLE) <= set(QUERIES)

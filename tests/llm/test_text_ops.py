@@ -17,7 +17,10 @@ def grams_of(text):
     return n, {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("rows_broadcast", [10**6, 0])
+def test_leaks(spark, monkeypatch, rows_broadcast):
+    """With the sketches broadcast, and with all joins shuffled."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows_broadcast)
     items = [(1, prose(31, 30)), (2, prose(32, 12)), (3, "Tiny item"), (4, ""), (5, None), (6, prose(31, 30)), (None, "x y"), (7, "lone")]
     passage = prose(31, 30).split(" ")
     rows = awkward() + [(100, prose(1, 50) + " " + " ".join(passage).upper() + " tail"), (101, " ".join(passage[:19])), (102, " ".join(passage[:16])), (103, "a tiny\nITEM"), (104, prose(40, 5000) + " " + prose(32, 12)), (105, "lone"), (105, "lone")]
