@@ -8,16 +8,17 @@ under 1e-6, so by the prefix principle they share one among the rarest
 ``len - NEEDED + 1`` values of each; only these are listed, which keeps
 passages that thousands of documents share out of the lists.
 
-No list is expanded into its pairs.  Lists give stars: each member is paired
-with the list's first HUBS members (one in the first round), which then leave
-the list, as they have met all others.  Pairs are checked by the estimate from
-the union's sketch, then by exact Jaccard on full sets; verified links join
-classes, and only lists that hold several components go on.  Lists that are
-still open after STAR_ROUNDS hold sets that share a core without being alike;
-sketches can't part them, so their members are listed anew by their full sets,
-with prefixes as short as the sizes of both partners allow: a core too small
-for the similarity is then in no list.  Each round costs at most HUBS pairs a
-list entry; no link is lost, as rounds go on until every list is used up.
+Lists give stars: each member is paired with the list's first member, its hub,
+which then leaves the list, as it has met all others.  Pairs are checked by the
+estimate from the union's sketch, then by exact Jaccard on full sets; verified
+links join classes, and only lists that hold several components go on.  Lists
+that are still open after STAR_ROUNDS mostly hold sets that share a core
+without being alike; sketches can't part them, so their members are listed anew
+by their full sets, with prefixes as short as the sizes of both partners allow:
+a core too small for the similarity is then in no list.  These lists give stars
+too, of as many hubs as keep a round at HUBS pairs for each entry of the first
+lists: work is linear in the input, whatever the lists' lengths.  No link is
+lost, as rounds go on until every list is used up.
 
 Cases: null, empty or blank text: an empty set, linked with nothing; fewer
 than five words: the whole sequence is the one shingle; an empty table gives an
@@ -44,7 +45,7 @@ from leafmill.llm.words import grams, group_of, runs, scan
 SHINGLE, SKETCH, NEEDED, PERCENT = 5, 64, 26, 70
 #: Least estimate from a union sketch at which a pair is verified: 0.7 less over five standard errors.
 ESTIMATE = 0.40
-STAR_ROUNDS, HUBS = 3, 16
+STAR_ROUNDS, HUBS = 1, 16
 #: Documents and shingles (8 bytes each) that a task holds while it verifies pairs.
 BUCKET_DOCS, BUCKET_SHINGLES = 1500, 4_000_000
 ENTRY = ["v", "node", "size", "side"]
@@ -262,7 +263,7 @@ def near_rows(
     links: DataFrame | None = None
     labels: DataFrame | None = None
     tried: DataFrame | None = None
-    n_tried = step = 0
+    n_tried = step = budget = 0
     while True:
         here, total, most = open_lists(lists, labels, scratch)
         if total and step == star_rounds:
@@ -270,7 +271,8 @@ def near_rows(
             here, total, most = open_lists(exact_lists(restrict(texts, core, core.count(), "node"), scratch, percent), labels, scratch)
         if not total:
             break
-        pairs, rest = stars(here, (total, most), 1 if step == 0 else HUBS, percent, scratch)
+        budget = max(budget, HUBS * total)
+        pairs, rest = stars(here, (total, most), 1 if step < star_rounds else budget // total, percent, scratch)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, "candidates")
