@@ -6,20 +6,22 @@ each page of the group.  Tokens with equal vectors form an equivalence class.
 The root class holds the tokens that occur once on most pages of one layout;
 pages that lack some of them keep the others.  A class is valid if its tokens
 come in the same order (the root's on most pages) and, for classes other than
-the root's, if they nest in one slot of the root.  The root's tokens are the template, the gaps between them its
-slots.  Template text is not content; a slot whose nested class is made of
-links is a menu.  What remains of a page is the text of its slots outside
-elements whose template tokens say menu, header, footer, sidebar, notice,
-advert, form or comments, within the article or main element where there is
-one.
+the root's, if they nest in one slot of the root.  The root's tokens are the
+template, the gaps between them its slots.  Template text is not content; a
+slot whose nested class is made of links is a menu.  What remains of a page is
+the text of its slots outside elements whose template tokens say menu, header,
+footer, sidebar, notice, advert, form or comments.  Slots also tell whether an
+article or main element is the page's own text: it is where its slots hold at
+least as much text that changes from page to page as all others; else, as with
+teasers, it counts like any element.
 
 Groups hold about GROUP pages: a larger host is split by a hash of the page,
 each part with a template of its own, so that no task holds a host.  A group
 of fewer than MIN_PAGES pages has no template and is read by element roles
 alone.  Pages are parted by layout, each with a template; layouts of fewer
 pages than that use the template of all pages.  Copies of a page count once
-and pages without tokens not at all.  Text inside an article is never taken for template, so that copies of
-one article on a host keep their text.
+and pages without tokens not at all.  Text inside an article is never taken
+for template, so that copies of one article on a host keep their text.
 
 Blocks are split at block-level tags; a line break is white space.  Character
 references are decoded, white space becomes one space, blocks are joined by an
@@ -27,7 +29,9 @@ empty line.
 
 Cases: null and empty html give an empty text; unclosed, crossed and unknown
 tags are tolerated; html without any tag is one block; a null or host-less url
-belongs to the host ''; repeated pages are each extracted; page_id may be null.
+belongs to the host ''; repeated pages are each extracted; page_id may be null; an
+empty table gives an empty one; columns other than page_id, url and html are
+ignored; very long pages are read whole.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -121,11 +126,12 @@ def _add_text(out: list[Token], raw: str) -> None:
 
 @dataclass
 class Template:
-    """Of each page its template text and where its slots begin (places and slots, in order); which slots are menus."""
+    """Of each page its template text and where its slots begin (places and slots, in order); which slots are menus; whether articles bound the text."""
 
     fixed: list[set[int]]
     begins: list[tuple[list[int], list[int]]]
     menus: set[int] = field(default_factory=set)
+    bounded: bool = True
 
 
 def _within(tokens: list[Token], *names: str) -> list[bool]:
@@ -229,6 +235,14 @@ def deduce(pages: list[list[Token]], min_pages: int = MIN_PAGES) -> Template:
             if t.name == "#text" and t.key and (s := _slot(template.begins[p], i)) in linked:
                 texts[s][links[p][i]] += len(t.key)
     template.menus = {s for s, (plain, link) in texts.items() if link > 4 * plain}
+    # What changes, within articles and outside: each text counts once, whatever number of pages has it.
+    changing: dict[bool, set[str]] = {True: set(), False: set()}
+    for p, tokens in enumerate(pages):
+        shown = [(i, inside) for i, inside in readable(tokens) if tokens[i].key and i not in template.fixed[p] and _slot(template.begins[p], i) not in template.menus]
+        for i, inside in shown:
+            if not links[p][i]:
+                changing[inside].add(tokens[i].key)
+    template.bounded = sum(map(len, changing[True])) >= sum(map(len, changing[False]))
     return template
 
 
@@ -237,20 +251,13 @@ def _slot(begins: tuple[list[int], list[int]], place: int) -> int:
     return begins[1][k - 1] if k else 0
 
 
-def blocks(tokens: list[Token], template: Template | None = None, page: int = 0) -> list[str]:
-    """The blocks of the main text of one page, which is that page of the template's."""
-    has_article = any(t.name in ("article", "main") and not t.end for t in tokens)
-    stack: list[tuple[str, bool]] = []
-    dropped = article = slot = 0
-    template_text, menus = (template.fixed[page], template.menus) if template else (set(), set())
-    begins = dict(zip(*template.begins[page], strict=True)) if template else {}
-    out: list[str] = []
-    held: list[str] = []
+def walk(tokens: list[Token]) -> Iterator[tuple[int, bool, bool]]:
+    """(place, inside, ends) of the texts, line breaks and block bounds of a page outside elements that aren't its text.
 
-    def flush() -> None:
-        if text := " ".join("".join(held).split()):
-            out.append(text)
-        held.clear()
+    inside: within an article or main element; ends: a block ends here.
+    """
+    stack: list[tuple[str, bool]] = []
+    dropped = article = 0
 
     def pop_to(depth: int) -> None:
         nonlocal dropped, article
@@ -260,18 +267,15 @@ def blocks(tokens: list[Token], template: Template | None = None, page: int = 0)
             article -= name in ("article", "main")
 
     for place, t in enumerate(tokens):
-        fixed = place in template_text
-        slot = begins.get(place, slot)
         if t.name == "#raw":
             continue
-        if t.name == "#text":
-            if not dropped and (article or not has_article) and not (fixed and not article) and (article or slot not in menus):
-                held.append(t.text)
-            continue
-        if t.name in _BLOCK:
-            flush()
-        elif t.name == "br":
-            held.append(" ")
+        if t.name == "#text" or t.name == "br":
+            if not dropped:
+                yield place, article > 0, False
+            if t.name == "#text":
+                continue
+        elif t.name in _BLOCK:
+            yield place, article > 0, True
         if t.end:
             for d in range(len(stack) - 1, -1, -1):
                 if stack[d][0] == t.name:
@@ -301,7 +305,31 @@ def blocks(tokens: list[Token], template: Template | None = None, page: int = 0)
         stack.append((t.name, role))
         dropped += role
         article += t.name in ("article", "main")
-    flush()
+
+
+def readable(tokens: list[Token]) -> list[tuple[int, bool]]:
+    """(place, inside) of the texts that ``walk`` gives."""
+    return [(place, inside) for place, inside, ends in walk(tokens) if not ends and tokens[place].name == "#text"]
+
+
+def blocks(tokens: list[Token], template: Template | None = None, page: int = 0) -> list[str]:
+    """The blocks of the main text of one page, which is that page of the template's."""
+    bounded = (template is None or template.bounded) and any(t.name in ("article", "main") and not t.end for t in tokens)
+    fixed, menus = (template.fixed[page], template.menus) if template else (set(), set())
+    begins = template.begins[page] if template else ([], [])
+    out: list[str] = []
+    held: list[str] = []
+    for place, inside, ends in walk(tokens):
+        if ends:
+            if text := " ".join("".join(held).split()):
+                out.append(text)
+            held.clear()
+        elif tokens[place].name == "br":
+            held.append(" ")
+        elif place not in fixed and (inside or not bounded) and (bounded or _slot(begins, place) not in menus):
+            held.append(tokens[place].text)
+    if text := " ".join("".join(held).split()):
+        out.append(text)
     return out
 
 

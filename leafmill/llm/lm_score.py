@@ -10,22 +10,29 @@ the add-one unigram, of which the base score is made:
 
     p(w | h) = MIX * q(h, w) / c(h) + (1 - MIX) * (c(w) + 1) / (N + V + 1)
 
+Quantising rounds counts down, so for a known h these sum to a little under 1
+over all words and the unknown one: the probability is deficient, never more
+than a whole one but for the filter's errors.
+
 Everything is counted over all training documents: map tasks combine, counts
-are routed by hash into segments, and each segment is built by one task and
-written to the shared folder.  While the model takes at most MODEL_BYTES it is
-put together and memory-mapped by every worker; beyond that words and bigrams
-are routed, salted, to their segments and the sums of logarithms come back.
-Both ways give the same numbers.
+are routed by hash into segments, sorted by the JVM, and each segment is built
+by itself and written to the shared folder; a segment without tokens is an
+empty file there, so that a lost one is an error and not a zero.  While the
+model takes at most MODEL_BYTES it is put together and memory-mapped by every
+worker; beyond that words and bigrams are routed, salted, to their segments and
+the sums of logarithms come back.  Both ways give the same numbers.
 
 Cases: null and empty texts are one end token; with no training documents all
-words are unknown and N = V = 0; rows that share a doc_id are each counted and
-scored; rows without doc_id are left out.
+words are unknown and N = V = 0; an empty table gives an empty one; very long
+texts are read whole, a run at a time; rows that share a doc_id and repeated
+rows are each counted and scored; rows without doc_id are left out; columns
+other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,15 +115,22 @@ def entry(keys: np.ndarray, level: np.ndarray | int, words: np.ndarray | int) ->
 
 
 def _write(uri: str, blob: bytes) -> None:
+    _write_all(uri, [np.frombuffer(blob, U64)])
+
+
+def _write_all(uri: str, parts: Iterable[np.ndarray]) -> None:
+    """A file of the shared folder from parts, of which one at a time is held; a second attempt replaces the first."""
     if path := local_path(uri):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(own := f"{path}.{os.getpid()}", "wb") as to:
-            to.write(blob)
+            for part in parts:
+                to.write(part.tobytes())
         os.replace(own, path)
     else:
         fs, path = pyarrow.fs.FileSystem.from_uri(uri)
         with fs.open_output_stream(path) as to:
-            to.write(blob)
+            for part in parts:
+                to.write(part.tobytes())
 
 
 def _read(uri: str) -> np.ndarray:
@@ -128,37 +142,44 @@ def _read(uri: str) -> np.ndarray:
         return np.frombuffer(f.read(), U64)
 
 
+def _segment_blob(s: int, bits: int, key: np.ndarray, n: np.ndarray) -> tuple[bytes, int, int]:
+    """A segment's file, its size in words and its tokens."""
+    keys, counts = combine(key.view(U64), n)
+    if s < 1 << bits:
+        return keys.tobytes() + counts.tobytes(), len(keys), int(counts.sum())
+    level = quantised(counts)
+    size = max(1, int(level.sum()) * BITS // 64 + 1)
+    table = np.zeros(size, U64)
+    left = np.arange(len(keys))
+    for j in range(1, int(level.max()) + 1):
+        left = left[level[left] >= j]
+        place, mask = entry(keys[left], j, size)
+        np.bitwise_or.at(table, place.astype(np.int64), mask)
+    return table.tobytes(), size, int(counts.sum())
+
+
 def _building(root: str, bits: int):
-    """Reduce side: writes each segment; (segment, size in words, tokens)."""
+    """Reduce side, of rows sorted by segment: writes one segment at a time; (segment, size in words, tokens)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        segment, key, n = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("segment", "key", "n"))
-        order = np.argsort(segment, kind="stable")
-        segment = segment[order]
-        bounds = np.r_[np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]), len(segment)]
-        rows = []
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            part = order[lo:hi]
-            keys, counts = combine(key[part].view(U64), n[part])
-            s = int(segment[lo])
-            if s < 1 << bits:
-                blob, size = keys.tobytes() + counts.tobytes(), len(keys)
-            else:
-                level = quantised(counts)
-                size = max(1, int(level.sum()) * BITS // 64 + 1)
-                table = np.zeros(size, U64)
-                left = np.arange(len(keys))
-                for j in range(1, int(level.max()) + 1):
-                    left = left[level[left] >= j]
-                    place, mask = entry(keys[left], j, size)
-                    np.bitwise_or.at(table, place.astype(np.int64), mask)
-                blob = table.tobytes()
-            _write(f"{root}/{s}.bin", blob)
-            rows.append((s, size, int(counts.sum())))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["segment", "size", "tokens"])
+        now, held = -1, []
+
+        def built() -> pa.RecordBatch:
+            blob, size, tokens_of = _segment_blob(now, bits, *(np.concatenate(x) for x in zip(*held, strict=True)))
+            _write(f"{root}/{now}.bin", blob)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([size], pa.int64()), pa.array([tokens_of], pa.int64())], ["segment", "size", "tokens"])
+
+        for batch in batches:
+            segment, key, n = (batch[c].to_numpy() for c in ("segment", "key", "n"))
+            bounds = np.r_[np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]][: len(segment)]), len(segment)]
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if held and segment[lo] != now:
+                    yield built()
+                now = int(segment[lo])
+                held.append((key[lo:hi].copy(), n[lo:hi].copy()))
+        if held:
+            yield built()
 
     return work
 
@@ -177,10 +198,7 @@ class Model:
         if s not in self._open:
             if len(self._open) > 64:
                 self._open.clear()
-            try:
-                self._open[s] = _read(f"{self.root}/{s}.bin")
-            except FileNotFoundError:  # no training token fell there
-                self._open[s] = np.zeros(0, U64)
+            self._open[s] = _read(f"{self.root}/{s}.bin")
         return self._open[s]
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
@@ -244,24 +262,33 @@ def fit(docs: DataFrame, scratch: Scratch, model_bytes: int = MODEL_BYTES) -> Mo
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, (size // SEGMENT_BYTES).bit_length())
     root = f"{scratch.root}/model"
-    rows = docs.mapInArrow(_counting(bits), "segment int, key bigint, n bigint").repartition("segment")
+    rows = docs.mapInArrow(_counting(bits), "segment int, key bigint, n bigint").repartition("segment").sortWithinPartitions("segment")
     parts = scratch.save(rows.mapInArrow(_building(root, bits), "segment int, size bigint, tokens bigint"), "segments")
     of_word = F.col("segment") < (1 << bits)
     total, distinct, words = parts.agg(F.sum(F.when(of_word, F.col("tokens"))), F.sum(F.when(of_word, F.col("size"))), F.sum(F.when(~of_word, F.col("size")))).first()
     total, distinct, words = total or 0, distinct or 0, words or 0
     if 16 * distinct + 8 * words > model_bytes:
+
+        def empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in batch["segment"].to_pylist():
+                    _write(f"{root}/{s}.bin", b"")
+                yield batch
+
+        every = docs.sparkSession.range(2 << bits).select(F.col("id").cast("int").alias("segment"))
+        scratch.save(every.join(parts.select("segment"), "segment", "left_anti").mapInArrow(empty, "segment int"), "empty")
         return Model(root, bits, total, distinct, None)
     sizes = {r.segment: r.size for r in parts.select("segment", "size").collect()}  # a model of model_bytes has few
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
             pass
-        tables = [_read(f"{root}/{s}.bin") for s in sorted(sizes) if s < 1 << bits]
-        half = lambda k: [t[k * len(t) // 2 : (k + 1) * len(t) // 2] for t in tables]
-        _write(f"{root}/words.bin", np.concatenate([*half(0), *half(1)]).tobytes() if tables else b"")
-        tables = [_read(f"{root}/{s}.bin") for s in sorted(sizes) if s >= 1 << bits]
-        _write(f"{root}/filter.bin", np.concatenate(tables).tobytes() if tables else b"")
-        yield pa.RecordBatch.from_arrays([pa.array([len(tables)], pa.int64())], ["n"])
+        of_words, of_pairs = ([s for s in sorted(sizes) if (s < 1 << bits) == kind] for kind in (True, False))
+        half = lambda t, k: t[k * len(t) // 2 : (k + 1) * len(t) // 2]
+        # Segment by segment: first all keys, then all counts.
+        _write_all(f"{root}/words.bin", (half(_read(f"{root}/{s}.bin"), k) for k in (0, 1) for s in of_words))
+        _write_all(f"{root}/filter.bin", (_read(f"{root}/{s}.bin") for s in of_pairs))
+        yield pa.RecordBatch.from_arrays([pa.array([len(sizes)], pa.int64())], ["n"])
 
     docs.sparkSession.range(1).coalesce(1).mapInArrow(assemble, "n bigint").collect()
     return Model(root, bits, total, distinct, sizes)

@@ -1,8 +1,9 @@
 """Quality classifier on random-indexing word vectors (operator 8).
 
-Each word has a sparse ternary index vector drawn from its hash.  Over a
-bounded sample of labelled documents a word's vector sums the index vectors of
-its neighbours.  A document pools (averages) the vectors of its words and, in
+Each word has a sparse ternary index vector drawn from its hash.  Over all
+documents a word's vector sums the index vectors of its neighbours; words share
+BUCKETS rows of a table of fixed size, of which each task makes one and tasks
+add up sixteen.  A document pools (averages) the vectors of its words and, in
 the same way, of its word forms (letters by case, digits, punctuation, whether
 the word repeats the one before).  A two-layer network in numpy turns pooled
 vectors into a probability, whose temperature is fitted on rows that the
@@ -13,13 +14,16 @@ most SAMPLE of those, chosen by a hash of doc_id.  Whole texts of all
 documents are scored; labels, lang, source and doc_id never enter a score.
 
 Cases: null and empty texts pool to zeros and get a score as any other; rows
-without label aren't learnt from; with no labels at all, or labels of one kind,
-the score is that kind's share (0.5 without labels); rows that repeat are each
-scored; rows without doc_id are left out.
+without label aren't learnt from; a doc_id with clashing labels counts as 1;
+with no labels at all, or labels of one kind, the score is that kind's share
+(0.5 without labels); an empty table gives an empty one; very long texts are
+read whole, a run at a time; rows that repeat are each scored; rows without
+doc_id are left out; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,14 +85,14 @@ def streams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """int32 (2, BUCKETS, WIDTH): sums of the neighbours' index vectors, of words and of forms."""
-    total = np.zeros((2, BUCKETS * WIDTH), np.int32)
+    """int64 (2, BUCKETS, WIDTH): sums of the neighbours' index vectors, of words and of forms."""
+    total = np.zeros((2, BUCKETS * WIDTH), np.int64)
     # Of coinciding places one entry stays, so that sums agree with index_vectors.
     entries = []
     for seed in (1, 2):
         rows, places = np.nonzero(index_vectors(BUCKETS, WIDTH, NONZERO, seed))
         count = np.bincount(rows, minlength=BUCKETS)
-        entries.append((np.cumsum(count) - count, count, places, index_vectors(BUCKETS, WIDTH, NONZERO, seed)[rows, places].astype(np.int32)))
+        entries.append((np.cumsum(count) - count, count, places, index_vectors(BUCKETS, WIDTH, NONZERO, seed)[rows, places].astype(np.int64)))
     for batch in batches:
         for first, *kinds in streams(batch["text"]):
             owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -101,7 +105,7 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
                     for j in range(NONZERO):
                         some = size[of] > j
                         at = begin[of[some]] + j
-                        np.add.at(table, to[some] * WIDTH + places[at], signs[at] * count[some].astype(np.int32))
+                        np.add.at(table, to[some] * WIDTH + places[at], signs[at] * count[some])
     return total.reshape(2, BUCKETS, WIDTH)
 
 
@@ -186,16 +190,48 @@ def fold(doc_id, n: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def neighbour_sums(texts: DataFrame, scratch: Scratch, fan_in: int = 16) -> np.ndarray:
+    """``neighbours`` of all texts: a table of fixed size from each task, added up ``fan_in`` at a time by further tasks."""
+
+    def packed(table: np.ndarray) -> pa.RecordBatch:
+        # Small numbers are most: the least type that holds them, told by the blob's length.
+        kind = np.int16 if np.abs(table).max(initial=0) < 1 << 15 else np.int64
+        return pa.RecordBatch.from_arrays([pa.array([table.astype(kind).tobytes()], pa.binary())], ["blob"])
+
+    def read(blob: bytes) -> np.ndarray:
+        return np.frombuffer(blob, np.int16 if len(blob) == 4 * BUCKETS * WIDTH else np.int64)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
+        if first is not None:
+            yield packed(neighbours(itertools.chain([first], batches)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for blob in batch["blob"]:
+                part = read(blob.as_py())
+                total = part.astype(np.int64) if total is None else total + part
+        if total is not None:
+            yield packed(total)
+
+    parts = scratch.save(texts.mapInArrow(sums, "blob binary"), "sums")
+    while (n := parts.count()) > 1:
+        more = scratch.save(parts.repartition(-(-n // fan_in)).mapInArrow(add, "blob binary"), "sums")
+        scratch.drop(parts)
+        parts = more
+    row = parts.first()
+    return np.zeros((2, BUCKETS, WIDTH), np.int64) if row is None else read(row[0]).reshape(2, BUCKETS, WIDTH)
+
+
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "quality", sample: int = SAMPLE) -> Network:
     known = labels.select("doc_id", F.col(f"`{label}`").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != 0))
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = scratch.save(only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([neighbours(batches).tobytes()], pa.binary())], ["blob"])
-
-    blob = texts.coalesce(1).mapInArrow(sums, "blob binary").first()[0]
-    vectors = word_vectors(np.frombuffer(blob, np.int32).reshape(2, BUCKETS, WIDTH))
+    total = neighbour_sums(only(docs, "text").where("text IS NOT NULL"), scratch)
+    vectors = word_vectors(total)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # 16 MB at any size of input
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,11 @@
 import collections
 import math
+import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,6 +169,30 @@ def test_quality(spark):
     assert quality.classify(frame(spark, []), labels).count() == 0
 
 
+def test_word_vectors_are_from_all_documents(spark):
+    from leafmill.llm.scratch import Scratch
+
+    texts = [prose(i, 40, 300) for i in range(90)] + [None, ""]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    got = quality.neighbour_sums(table, Scratch(spark, "t"), fan_in=2)
+    want = np.zeros_like(got)
+    for t in texts:
+        for ids, table_, seed in zip(next(quality.streams(pa.array([t or ""])))[1:], want, (1, 2), strict=True):
+            index = quality.index_vectors(quality.BUCKETS, quality.WIDTH, quality.NONZERO, seed).astype(int)
+            for i in range(len(ids)):
+                for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
+                    if i != j:
+                        table_[ids[i]] += index[ids[j]]
+    assert (got == want).all() and got.any()
+    assert not quality.neighbour_sums(table.limit(0), Scratch(spark, "t")).any()
+
+
+def test_a_lost_segment_is_an_error(tmp_path):
+    model = lm_score.Model(f"file://{tmp_path}", 4, 5, 5, None)
+    with pytest.raises(FileNotFoundError):
+        model.counts(np.array([7], np.uint64))
+
+
 def test_url_filter(spark):
     urls = ["http://a.example.com/en/1", "https://WWW.Example.com/en/x?q=/fr/", "http://example.com/EN/", "x.net/es/", None, "", "http://", "ftp://b.net/es/#/fr/", "http://b.net/fr", "http://b.net?/fr/", "http://net/fr/", "http://xnet/fr/", "http://com", "http://q.com/", "a://b://c.com/"]
     pages = spark.createDataFrame([(i if i else None, u, "t", "r") for i, u in enumerate(urls)] + [(1, urls[1], "t", "r")], "page_id bigint, url string, text string, rule string")
@@ -226,6 +253,66 @@ def test_html_of_a_host_with_null_and_odd_pages(spark):
     assert [got["copies", n] for n in range(4)] == ["Same words"] * 4
 
 
+def planted(seed):
+    """Pages of one layout with neutral names, and what their text is: only the template can part the two."""
+    draw = random.Random(seed)
+    name = lambda: "x" + "".join(draw.choice("bcdfgh") for _ in range(5))
+    words = lambda n: " ".join(draw.choice("lorem ipsum dolor sit amet elit sed do magna".split()).capitalize() if draw.random() < 0.1 else f"w{draw.randrange(5000)}" for _ in range(n))
+    style = draw.choice(["plain", "article", "main", "teaser"])
+    fixed = [f"<div class={name()}>{words(draw.randint(1, 12))}</div>" for _ in range(4)]
+    inner = f"<p class={name()}>{words(6)}</p>"
+    menu, box, side = name(), name(), name()
+    pages, texts = [], []
+    for i in range(draw.randint(6, 14)):
+        paragraphs = [words(draw.randint(8, 40)) for _ in range(draw.randint(2, 6))]
+        body = [f"<p>{p}" for p in paragraphs]
+        if style in ("plain", "teaser"):
+            body.append(inner)
+        links = "".join(f"<a href={k}>{words(1)}</a> " for k in range(draw.randint(2, 5)))
+        main = f"<div class={box}>{' '.join(body)}</div>"
+        if style in ("article", "main"):
+            main = f"<{style}>{main}</{style}><div class={side}>{words(3)}</div>"
+        elif style == "teaser":
+            main = f"<article>{words(2)}</article>{main}"
+            paragraphs.insert(0, main[9 : main.index("</article>")])
+        pages.append(f"<html><body>{fixed[0]}<div class={menu}>{links}</div>{fixed[1]}{main}{fixed[2]}{fixed[3]}</body></html>")
+        texts.append("\n\n".join(paragraphs))
+    return pages, texts
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_html_slots_alone_part_text_from_boilerplate(seed):
+    pages, texts = planted(seed)
+    assert html_text.extract(pages) == texts
+    # Read by element names alone these pages would be wrong, but for those whose article is their text.
+    if re.search("<(article|main)><div", pages[0]) is None:
+        assert all("\n\n".join(html_text.blocks(html_text.tokenize(p))) != t for p, t in zip(pages, texts, strict=True))
+
+
+def test_html_copies_of_an_article_keep_their_text():
+    article = "<article><h1>Head</h1><p>One and the same long text on all of these pages.<p>%s</article>"
+    pages = [f"<nav>{i}</nav>" + article % f"Seen {i}" + "<div>Fixed</div>" for i in range(5)]
+    assert html_text.extract(pages) == [f"Head\n\nOne and the same long text on all of these pages.\n\nSeen {i}" for i in range(5)]
+
+
+def slow_root(pages):
+    """The keys that occur exactly once on most pages, and for how many, by counting each key on each page."""
+    keys = [[t.key for t in page if t.key is not None] for page in pages]
+    need = max(html_text.MIN_PAGES, len(pages) // 2 + 1)
+    return {k for k in set().union(*keys) if sum(page.count(k) == 1 for page in keys) >= need}
+
+
+@pytest.mark.parametrize("seed", range(40, 50))
+def test_html_template_against_counting(seed):
+    """Outside articles the template's places are those of tokens that counting finds once on most pages."""
+    pages = [html_text.tokenize(p) for p in planted(seed)[0]]
+    template, root = html_text.deduce(pages), slow_root(pages)
+    for p, page in enumerate(pages):
+        inside = html_text._within(page, "article", "main")
+        want = [i for i, t in enumerate(page) if t.key in root and sum(u.key == t.key for u in page) == 1 and not (inside[i] and t.name == "#text")]
+        assert template.begins[p][0] == want
+
+
 def test_html_split_groups_agree(spark):
     rows = [(i, "http://h.org/", f"<nav>{i}</nav><article><p>text {i}</p></article>") for i in range(40)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
