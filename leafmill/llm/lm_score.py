@@ -31,17 +31,15 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.quality import fold
-from leafmill.llm.scratch import Scratch, local_path, only
+from leafmill.llm.scratch import Scratch, only, read_file, write_file, write_parts
 from leafmill.llm.words import U64, mix, runs, scan
 
 FOLDS, HELD, MIX, BASE, BITS, PROBES = 7, 2, 0.4, 1.5, 16, 5
@@ -114,34 +112,6 @@ def entry(keys: np.ndarray, level: np.ndarray | int, words: np.ndarray | int) ->
     return ((e >> U64(32)) * np.asarray(words).astype(U64)) >> U64(32), mask
 
 
-def _write(uri: str, blob: bytes) -> None:
-    _write_all(uri, [np.frombuffer(blob, U64)])
-
-
-def _write_all(uri: str, parts: Iterable[np.ndarray]) -> None:
-    """A file of the shared folder from parts, of which one at a time is held; a second attempt replaces the first."""
-    if path := local_path(uri):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(own := f"{path}.{os.getpid()}", "wb") as to:
-            for part in parts:
-                to.write(part.tobytes())
-        os.replace(own, path)
-    else:
-        fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-        with fs.open_output_stream(path) as to:
-            for part in parts:
-                to.write(part.tobytes())
-
-
-def _read(uri: str) -> np.ndarray:
-    """uint64 words of a file of the shared folder, memory-mapped where it is mounted."""
-    if path := local_path(uri):
-        return np.memmap(path, dtype=U64, mode="r") if os.path.getsize(path) else np.zeros(0, U64)
-    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), U64)
-
-
 def _segment_blob(s: int, bits: int, key: np.ndarray, n: np.ndarray) -> tuple[bytes, int, int]:
     """A segment's file, its size in words and its tokens."""
     keys, counts = combine(key.view(U64), n)
@@ -166,7 +136,7 @@ def _building(root: str, bits: int):
 
         def built() -> pa.RecordBatch:
             blob, size, tokens_of = _segment_blob(now, bits, *(np.concatenate(x) for x in zip(*held, strict=True)))
-            _write(f"{root}/{now}.bin", blob)
+            write_file(f"{root}/{now}.bin", blob)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([size], pa.int64()), pa.array([tokens_of], pa.int64())], ["segment", "size", "tokens"])
 
@@ -198,14 +168,14 @@ class Model:
         if s not in self._open:
             if len(self._open) > 64:
                 self._open.clear()
-            self._open[s] = _read(f"{self.root}/{s}.bin")
+            self._open[s] = read_file(f"{self.root}/{s}.bin")
         return self._open[s]
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct words."""
         if self.sizes is not None:
             if "words" not in self._open:
-                table = _read(f"{self.root}/words.bin")
+                table = read_file(f"{self.root}/words.bin")
                 self._open["words"] = table[: len(table) // 2], table[len(table) // 2 :]
             return _find(*self._open["words"], keys)
         out, segment = np.zeros(len(keys), np.int64), (keys >> U64(64 - self.bits)).astype(np.int64)
@@ -221,7 +191,7 @@ class Model:
         if self.sizes is not None:
             if "filter" not in self._open:
                 size = np.array([self.sizes.get(s, 0) for s in range(1 << self.bits, 2 << self.bits)], np.int64)
-                self._open["filter"] = _read(f"{self.root}/filter.bin"), size, np.cumsum(size) - size
+                self._open["filter"] = read_file(f"{self.root}/filter.bin"), size, np.cumsum(size) - size
             table, size, base = self._open["filter"]
             segment -= 1 << self.bits
             self._probe(table, size[segment], base[segment], keys, left, out)
@@ -272,7 +242,7 @@ def fit(docs: DataFrame, scratch: Scratch, model_bytes: int = MODEL_BYTES) -> Mo
         def empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for s in batch["segment"].to_pylist():
-                    _write(f"{root}/{s}.bin", b"")
+                    write_file(f"{root}/{s}.bin", b"")
                 yield batch
 
         every = docs.sparkSession.range(2 << bits).select(F.col("id").cast("int").alias("segment"))
@@ -286,8 +256,8 @@ def fit(docs: DataFrame, scratch: Scratch, model_bytes: int = MODEL_BYTES) -> Mo
         of_words, of_pairs = ([s for s in sorted(sizes) if (s < 1 << bits) == kind] for kind in (True, False))
         half = lambda t, k: t[k * len(t) // 2 : (k + 1) * len(t) // 2]
         # Segment by segment: first all keys, then all counts.
-        _write_all(f"{root}/words.bin", (half(_read(f"{root}/{s}.bin"), k) for k in (0, 1) for s in of_words))
-        _write_all(f"{root}/filter.bin", (_read(f"{root}/{s}.bin") for s in of_pairs))
+        write_parts(f"{root}/words.bin", (half(read_file(f"{root}/{s}.bin"), k) for k in (0, 1) for s in of_words))
+        write_parts(f"{root}/filter.bin", (read_file(f"{root}/{s}.bin") for s in of_pairs))
         yield pa.RecordBatch.from_arrays([pa.array([len(sizes)], pa.int64())], ["n"])
 
     docs.sparkSession.range(1).coalesce(1).mapInArrow(assemble, "n bigint").collect()

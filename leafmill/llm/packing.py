@@ -7,8 +7,11 @@ items of the next round, in which several partitions merge into one, until
 one task holds all that are left or the limit of items a task is reached.
 Only metadata of pieces travels, never their ids; ``sequences`` gives those.
 
-Cases: a null or empty text is its end id alone; rows without doc_id are left
-out; repeated rows are packed each on their own.
+Cases: a null or empty text is its end id alone; pieces of equal length go in
+the order they came in; very long texts are cut into pieces; an empty table
+gives an empty one; rows without doc_id are left out; repeated rows and rows
+that share a doc_id are packed each on their own; columns other than doc_id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -192,7 +195,7 @@ def pack(cut: DataFrame, scratch: Scratch, size: int = SEQUENCE, fan_in: int = F
         level += 1
         tasks = max(-(-tasks // fan_in), -(-open_bins // task_items))
         round_of = scratch.save(rest.coalesce(tasks).mapInArrow(lambda b, n=level: gather(b, n), schema), "bins")
-        if tasks == 1 or level > 40:
+        if tasks == 1 or level == 127:  # sequence ids hold no more levels
             emitted.append(round_of)
             break
         emitted.append(round_of.where(F.col("fill") >= full))

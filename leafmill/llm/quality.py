@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.scratch import Scratch, only
+from leafmill.llm.scratch import Scratch, only, read_file, write_file
 from leafmill.llm.words import U64, Words, mix, runs, scan
 
 #: Labelled documents that the model is fitted on, at most.
@@ -193,36 +193,51 @@ def fold(doc_id, n: int):
 def neighbour_sums(texts: DataFrame, scratch: Scratch, fan_in: int = 16) -> np.ndarray:
     """``neighbours`` of all texts: a table of fixed size from each task, added up ``fan_in`` at a time by further tasks."""
 
-    def packed(table: np.ndarray) -> pa.RecordBatch:
-        # Small numbers are most: the least type that holds them, told by the blob's length.
-        kind = np.int16 if np.abs(table).max(initial=0) < 1 << 15 else np.int64
-        return pa.RecordBatch.from_arrays([pa.array([table.astype(kind).tobytes()], pa.binary())], ["blob"])
+    def packed(table: np.ndarray) -> bytes:
+        # The least type that holds the numbers, told by the length.
+        top = np.abs(table).max(initial=0)
+        return table.astype(np.int16 if top < 1 << 15 else np.int32 if top < 1 << 31 else np.int64).tobytes()
 
-    def read(blob: bytes) -> np.ndarray:
-        return np.frombuffer(blob, np.int16 if len(blob) == 4 * BUCKETS * WIDTH else np.int64)
+    def read(blob) -> np.ndarray:
+        return np.frombuffer(blob, {1: np.int16, 2: np.int32, 4: np.int64}[len(blob) // (4 * BUCKETS * WIDTH)])
+
+    def row(blob: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = (b for b in batches if b.num_rows)
         first = next(batches, None)
         if first is not None:
-            yield packed(neighbours(itertools.chain([first], batches)))
+            yield row(packed(neighbours(itertools.chain([first], batches))))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def total_of(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total = None
         for batch in batches:
             for blob in batch["blob"]:
-                part = read(blob.as_py())
-                total = part.astype(np.int64) if total is None else total + part
-        if total is not None:
-            yield packed(total)
+                part = read(blob.as_buffer())
+                total = part.astype(np.int64) if total is None else np.add(total, part, out=total)
+        return total
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (total := total_of(batches)) is not None:
+            yield row(packed(total))
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The driver's Python reads the sums from the shared folder; its JVM never holds them.
+        if (total := total_of(batches)) is not None:
+            write_file(at, packed(total))
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], ["n"])
 
+    at = scratch.path("sums.bin")
     parts = scratch.save(texts.mapInArrow(sums, "blob binary"), "sums")
-    while (n := parts.count()) > 1:
+    while (n := parts.count()) > fan_in:
         more = scratch.save(parts.repartition(-(-n // fan_in)).mapInArrow(add, "blob binary"), "sums")
         scratch.drop(parts)
         parts = more
-    row = parts.first()
-    return np.zeros((2, BUCKETS, WIDTH), np.int64) if row is None else read(row[0]).reshape(2, BUCKETS, WIDTH)
+    if not scratch.save(parts.repartition(1).mapInArrow(store, "n bigint"), "stored").count():
+        return np.zeros((2, BUCKETS, WIDTH), np.int64)
+    scratch.drop(parts)
+    return read(read_file(at).view(np.uint8)).reshape(2, BUCKETS, WIDTH)
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "quality", sample: int = SAMPLE) -> Network:

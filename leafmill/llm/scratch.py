@@ -7,11 +7,15 @@ only where that setting is absent and Spark runs in one process, as in tests.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,34 @@ def local_path(uri: str) -> str | None:
     return parts.path if parts.scheme in ("", "file") else None
 
 
+def write_file(uri: str, blob: bytes) -> None:
+    write_parts(uri, [np.frombuffer(blob, np.uint64)])
+
+
+def write_parts(uri: str, parts: Iterable[np.ndarray]) -> None:
+    """A file of the shared folder from parts, of which one at a time is held; a second attempt replaces the first."""
+    if path := local_path(uri):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(own := f"{path}.{os.getpid()}", "wb") as to:
+            for part in parts:
+                to.write(part.tobytes())
+        os.replace(own, path)
+    else:
+        fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+        with fs.open_output_stream(path) as to:
+            for part in parts:
+                to.write(part.tobytes())
+
+
+def read_file(uri: str) -> np.ndarray:
+    """uint64 words of a file of the shared folder, memory-mapped where it is mounted."""
+    if path := local_path(uri):
+        return np.memmap(path, dtype=np.uint64, mode="r") if os.path.getsize(path) else np.zeros(0, np.uint64)
+    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        return np.frombuffer(f.read(), np.uint64)
+
+
 class Scratch:
     """Tables of one operator run; ``drop`` removes those that are no longer read."""
 

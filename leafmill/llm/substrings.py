@@ -16,8 +16,11 @@ those at its source coordinates before anything is removed.
 
 Cases: null texts have no words; texts under WINDOW words lose none; equal
 texts lose all windows but those of the smallest doc_id; repeats inside one
-document stay; rows that share a doc_id each lose only spans that verify on
-their own words; rows without doc_id are left out.
+document stay; every row is a document of its own: rows that share a doc_id
+each lose only spans that verify on their own words and take nothing from one
+another; very long texts are read whole, a run at a time; an empty table gives
+an empty one; rows without doc_id are left out; columns other than doc_id and
+text are ignored.
 """
 
 from __future__ import annotations

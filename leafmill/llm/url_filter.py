@@ -10,8 +10,9 @@ Of the rules that fit the longest wins.
 
 Cases: a null URL, or one without ``://``, has an empty host and path and no
 rule; without a rule the verdict is the default, allow; equal rules must agree
-or the later one counts; rows without page_id keep their null; repeated rows
-are each judged.
+or the later one counts; very long URLs are judged whole; an empty table gives
+an empty one; rows without page_id keep their null; repeated rows are each
+judged; columns other than page_id and url are ignored.
 """
 
 from __future__ import annotations

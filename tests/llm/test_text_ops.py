@@ -206,6 +206,12 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_long_urls_and_rules_of_equal_length(spark):
+    rows = [(1, "http://a.example.com/en/" + "x/" * 200_000), (2, "http://" + "s." * 2000 + "net/fr/"), (3, "http://b.net/es/fr/")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: ("net/fr/", "block"), 3: ("net/es/", "block")}
+
+
 def test_digest_collisions_are_told_apart(tmp_path):
     index = url_filter.DigestArray.build(url_filter.RULES, f"file://{tmp_path}/i", hash_of=lambda k: len(k) % 3)
     plain = url_filter.DigestArray.build(url_filter.RULES, f"file://{tmp_path}/p")
