@@ -331,6 +331,55 @@ def vertical_intervals(mask: np.ndarray, to_data, most: int = 6) -> list[dict]:
     return out
 
 
+def dots(mask: np.ndarray, least: int = 4, most: int = 250) -> list[dict]:
+    """Small regions of one colour once its upright strokes are gone."""
+    free = mask & ~grow(long_runs(mask, 35, 0), 3)
+    return [r for r in regions(free) if least <= r["area"] <= most and min(r["box"][2] - r["box"][0], r["box"][3] - r["box"][1]) >= 3]
+
+
+def panel_items(crop: np.ndarray, panel: dict, name: str) -> list[dict]:
+    """Intervals of a panel's strokes of one colour, and its dots by the class of the nearest stroke.
+
+    The second nearest is a candidate too within three quarters of the median
+    step between strokes; without strokes there are no classes and no points.
+    """
+    h = max(crop.shape[0], 1)
+    span = panel["y_max"] - panel["y_min"]
+    to_data = lambda y: panel["y_min"] + y / h * span
+    mask = color_mask(crop, name)
+    bars = vertical_intervals(mask, to_data)
+    if not bars:
+        return []
+    about = {"panel_id": panel["panel_id"], "color": name, "source": "color"}
+    slack = round(min(max(abs(span) * 0.025, 0.3), 0.75), 2), round(min(max(abs(span) * 0.02, 0.35), 0.65), 2)
+    out = [{**about, "item_type": "interval", **{k: b[k] for k in ("class", "start_depth", "end_depth")}, "depth_tolerance": slack[0]} for b in bars]
+    xs = sorted(b["pixel_x"] for b in bars)
+    steps = [b - a for a, b in zip(xs, xs[1:], strict=False) if b > a]
+    step = float(np.median(steps)) if steps else 0.0
+    for d in dots(mask):
+        near = sorted(bars, key=lambda b, x=d["x"]: abs(b["pixel_x"] - x))
+        also = [b["class"] for b in near[1:2] if step and abs(b["pixel_x"] - d["x"]) <= step * 0.75]
+        out.append({**about, "item_type": "point", "class": near[0]["class"], "class_candidates": [near[0]["class"], *also], "depth": round(to_data(d["y"]), 1), "depth_tolerance": slack[1]})
+    return out
+
+
+def chart_items(image: np.ndarray, names: list[str] | None = None) -> list[dict]:
+    """All chart items of a page: by colour in its panels; failing those, its axis frames; and zones in panels in any case."""
+    found = panels(image)
+    boxes = [(p["px0"], p["py0"], p["px1"], p["py1"]) for p in found]
+    crops = [image[y0:y1, x0:x1] for x0, y0, x1, y1 in boxes]
+    places = lambda b: dict(zip(("px0", "py0", "px1", "py1"), map(float, b), strict=True))
+    out = [{**i, **places(b)} for p, c, b in zip(found, crops, boxes, strict=True) for name in (names or colors(image, boxes)) for i in panel_items(c, p, name)]
+    if not out:
+        out = [{"item_type": "chart_detected", "panel_id": "chart", "source": "structure", **places(f["box"])} for f in structures(image)]
+    for p, c, b in zip(found, crops, boxes, strict=True):
+        to_data = lambda y, p=p, h=max(c.shape[0], 1): p["y_min"] + y / h * (p["y_max"] - p["y_min"])
+        slack = round(min(max(abs(p["y_max"] - p["y_min"]) * 0.025, 0.3), 0.75), 2)
+        for z in zone_boundaries(c, to_data):
+            out.append({"item_type": "interval", "panel_id": p["panel_id"], "color": "black", "source": "zones", "depth_tolerance": slack, **{k: z[k] for k in ("class", "start_depth", "end_depth")}, **places(b)})
+    return out
+
+
 def zone_boundaries(image: np.ndarray, to_data, threshold: int = 40) -> list[dict]:
     """Diagonal lines (slope 0.15 to 5) as intervals of depth, classes by rising mean depth.
 

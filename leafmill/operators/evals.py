@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,37 +134,61 @@ def chart_eval(pages: DataFrame, texts: DataFrame, terms: DataFrame, labels: Dat
     return out.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), s.cast("double").alias("score"), F.lit(w).alias("weight")) for n, (s, w) in scores.items()])).alias("m")).select("doc_id", "m.*")
 
 
+def pair_hits(kinds: list[str], texts: list[str], goal_kinds: list[str], goals: list[str], at_once: int = 256) -> float:
+    """Share of equal types among blocks that take, in order, the free golden block most alike by its set of characters.
+
+    The similarities of ``at_once`` blocks with all golden ones come from one
+    product of two tables of characters.
+    """
+    if not kinds or not goals:
+        return 0.0
+    place: dict[str, int] = {}
+    sets = [[[place.setdefault(c, len(place)) for c in set((t or "").lower())] for t in side] for side in (texts, goals)]
+    free, hits, pairs = np.ones(len(goals), bool), 0, 0
+    table = lambda part: _marks(part, len(place))
+    other = table(sets[1])
+    size = other.sum(axis=1)
+    for lo in range(0, len(kinds), at_once):
+        own = table(sets[0][lo : lo + at_once])
+        both = own @ other.T
+        union = own.sum(axis=1)[:, None] + size[None, :] - both
+        same = np.where(union > 0, both / np.maximum(union, 1), 1.0)
+        for i, row in enumerate(same):
+            left = np.where(free, row, 0.0)
+            j = int(left.argmax())
+            if left[j] > 0:
+                free[j] = False
+                pairs += 1
+                hits += kinds[lo + i] == goal_kinds[j]
+    return hits / max(pairs, len(goals)) if pairs else 0.0
+
+
+def _marks(sets: list[list[int]], width: int) -> np.ndarray:
+    out = np.zeros((len(sets), width))
+    for i, own in enumerate(sets):
+        out[i, own] = 1
+    return out
+
+
 def type_accuracy(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """(doc_id, score): blocks paired greedily by their sets of characters, then compared by type.
 
     A pairing takes a golden block from those after it, so each document is
-    one fold; the similarity of all pairs of a document comes from two bitmaps.
+    one fold; documents are gathered by the JVM and handed over many at a time.
     """
 
-    def pair(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"doc_id": [key[0]], "score": [0.0]})
-        left, right = left.sort_values("seq"), right.sort_values("seq")
-        goals = [set((t or "").lower()) for t in right["text"]]
-        kinds, free = right["type"].tolist(), set(range(len(goals)))
-        hits = pairs = 0
-        for text, kind in zip(left["text"], left["type"], strict=True):
-            own = set((text or "").lower())
-            best, at = 0.0, -1
-            for j in sorted(free):
-                both = own | goals[j]
-                same = (1.0 if not both else 0.0) if not own or not goals[j] else len(own & goals[j]) / len(both)
-                if same > best:
-                    best, at = same, j
-            if at >= 0:
-                free.discard(at)
-                pairs += 1
-                hits += kind == kinds[at]
-        return pd.DataFrame({"doc_id": [key[0]], "score": [hits / max(pairs, len(goals)) if pairs else 0.0]})
+    @F.pandas_udf("double")
+    def score(kinds: pd.Series, texts: pd.Series, goal_kinds: pd.Series, goals: pd.Series) -> pd.Series:
+        own = lambda x: [] if x is None else list(x)
+        return pd.Series([pair_hits(*map(own, row)) for row in zip(kinds, texts, goal_kinds, goals, strict=True)])
+
+    def gathered(rows: DataFrame, name: str) -> DataFrame:
+        own = F.sort_array(F.collect_list(F.struct("seq", "type", "text")))
+        field = lambda k: F.transform("own", lambda b: b[k]).alias(f"{name}_{k}")
+        return rows.groupBy("doc_id").agg(own.alias("own")).select("doc_id", field("type"), field("text"))
 
-    # Fresh columns: where both sides come from one table, a cogroup mixes up columns they share.
-    fresh = lambda d: d.select(*[F.col(c).alias(c) for c in ("doc_id", "seq", "type", "text")]).groupBy("doc_id")
-    return fresh(actual).cogroup(fresh(expected)).applyInPandas(pair, "doc_id bigint, score double")
+    met = gathered(actual, "a").join(gathered(expected, "e"), "doc_id", "full")
+    return met.select("doc_id", score("a_type", "a_text", "e_type", "e_text").alias("score"))
 
 
 def document_metrics(actual: DataFrame, expected: DataFrame, docs: DataFrame) -> DataFrame:

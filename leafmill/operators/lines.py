@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import classify_ocr, classify_text, is_cjk, normalize, strip
+from leafmill.functions.text import cjk_count, classify_ocr, classify_text, normalize, strip
 from leafmill.operators.order import PAGE
 
 
@@ -70,23 +70,30 @@ def _rank(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in _RANK.items() for x in p]), kind), F.lit(9))
 
 
+def _cjk(b: Column) -> Column:
+    """is_cjk of a folded block; its count of CJK characters is carried, so most texts aren't looked at."""
+    return (b["cjk"] > 0) & (b["cjk"] * 10 > F.length(strip(b["text"])) * 3)
+
+
 def _merged(a: Column, b: Column) -> Column:
     """Two blocks as one: the mean of the two confidences, not of all lines'."""
-    gap = F.when(is_cjk(a["text"]) & is_cjk(b["text"]), "").otherwise(" ")
+    gap = F.when(_cjk(a) & _cjk(b), "").otherwise(" ")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return F.struct(
-        F.when(_rank(a["type"]) <= _rank(b["type"]), a["type"]).otherwise(b["type"]).alias("type"),
+        F.when(a["rank"] <= b["rank"], a["type"]).otherwise(b["type"]).alias("type"),
         F.concat(a["text"], gap, b["text"]).alias("text"),
         *[F.least(a[k], b[k]).alias(k) for k in ("x0", "y0")],
         *[F.greatest(a[k], b[k]).alias(k) for k in ("x1", "y1")],
         ((zero(a["confidence"]) + zero(b["confidence"])) / 2).alias("confidence"),
+        F.least(a["rank"], b["rank"]).alias("rank"),
+        (a["cjk"] + b["cjk"]).alias("cjk"),
     )
 
 
 def _same_text(a: Column, b: Column) -> Column:
     gap = b["y0"] - a["y1"]
     near = (a["type"] == "paragraph") & (b["type"] == "paragraph") & gap.between(0, 12) & (F.abs(a["x0"] - b["x0"]) <= 16)
-    return near & ~(is_cjk(a["text"]) & strip(a["text"]).rlike("[。！？]$") & (gap > 8))
+    return near & ~((gap > 8) & _cjk(a) & strip(a["text"]).rlike("[。！？]$"))
 
 
 def _same_ocr(a: Column, b: Column) -> Column:
@@ -99,19 +106,23 @@ def merge_paragraphs(blocks: DataFrame, ocr: bool = False) -> DataFrame:
     """Adjacent lines of a page as paragraphs, each line held against what was merged so far.
 
     Native text goes in block order and merges paragraphs; OCR lines go by
-    place and merge whatever their type. A fold inside one row per page.
+    place and merge whatever their type. A fold inside one row per page: the
+    open paragraph is held apart from those that are done.
     """
     same = _same_ocr if ocr else _same_text
     keys = [F.coalesce("y0", F.lit(0.0)), F.coalesce("x0", F.lit(0.0)), F.col("block_seq")] if ocr else [F.col("block_seq")]
-    sort = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.struct(*_BLOCK).alias("b"))
+    own = F.struct(*_BLOCK, _rank(F.col("type")).alias("rank"), F.coalesce(cjk_count(F.col("text")), F.lit(0)).alias("cjk"))
+    sort = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], own.alias("b"))
     pages = blocks.groupBy(*PAGE).agg(F.transform(F.sort_array(F.collect_list(sort)), lambda s: s["b"]).alias("own"))
-    kind = "array<struct<type:string,text:string,x0:double,y0:double,x1:double,y1:double,confidence:double>>"
+    block = "struct<type:string,text:string,x0:double,y0:double,x1:double,y1:double,confidence:double,rank:int,cjk:int>"
+    kind = f"struct<done:array<{block}>,open:{block}>"
 
-    def step(done: Column, b: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = F.coalesce(same(last, b), F.lit(False))
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(_merged(last, b)))).otherwise(F.concat(done, F.array(b))).cast(kind)
+    def step(acc: Column, b: Column) -> Column:
+        joins = F.coalesce(same(acc["open"], b), F.lit(False))
+        closed = F.when(joins | acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+        return F.struct(closed.alias("done"), F.when(joins, _merged(acc["open"], b)).otherwise(b).alias("open"))
 
+    start = F.struct(F.array().cast(f"array<{block}>").alias("done"), F.lit(None).cast(block).alias("open")).cast(kind)
     # Blocks enter in the accumulator's own shape.
-    folded = pages.select(*PAGE, F.aggregate(F.col("own").cast(kind), F.array().cast(kind), step).alias("done"))
-    return folded.select(*PAGE, F.posexplode("done").alias("block_seq", "b")).select(*PAGE, "block_seq", "b.*")
+    folded = pages.select(*PAGE, F.aggregate(F.col("own").cast(f"array<{block}>"), start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"]))).alias("done"))
+    return folded.select(*PAGE, F.posexplode("done").alias("block_seq", "b")).select(*PAGE, "block_seq", *[f"b.{k}" for k in _BLOCK])

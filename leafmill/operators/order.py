@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import priority
@@ -17,26 +18,27 @@ def default_order(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("pos", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*keys)))
 
 
-def column_split(blocks: DataFrame, width: float) -> DataFrame:
+def column_split(blocks: DataFrame, width: float | Column) -> DataFrame:
     """(doc_id, page_no, split_x) of pages in two columns: the first largest gap between block centres.
 
     Narrow blocks that aren't headers or footers count; the gap must pass 15 %
     of the width and leave three centres on either side.
     """
     role = F.col("role") if "role" in blocks.columns else F.lit(None).cast("string")
+    width = width if isinstance(width, Column) else F.lit(float(width))
     member = (F.col("x1") - F.col("x0") < width * 0.5) & ~F.col("type").isin("header", "footer") & (F.coalesce(role, F.lit("")) != "page_number")
-    centres = blocks.where(F.col("x0").isNotNull() & member).select(*PAGE, "block_seq", ((F.col("x0") + F.col("x1")) / 2.0).alias("c"))
+    centres = blocks.where(F.col("x0").isNotNull() & member).select(*PAGE, "block_seq", ((F.col("x0") + F.col("x1")) / 2.0).alias("c"), width.alias("_w"))
     w = Window.partitionBy(*PAGE).orderBy("c", "block_seq")
     follow = F.lead("c").over(w)
-    gaps = centres.select(*PAGE, "c", F.row_number().over(w).alias("k"), (follow - F.col("c")).alias("gap"), ((F.col("c") + follow) / 2.0).alias("mid"))
-    best = gaps.groupBy(*PAGE).agg(F.count("*").alias("n"), F.max(F.when(F.col("gap") > 0, F.struct("gap", (-F.col("k")).alias("first"), "mid"))).alias("best"))
+    gaps = centres.select(*PAGE, "c", "_w", F.row_number().over(w).alias("k"), (follow - F.col("c")).alias("gap"), ((F.col("c") + follow) / 2.0).alias("mid"))
+    best = gaps.groupBy(*PAGE).agg(F.first("_w").alias("_w"), F.count("*").alias("n"), F.max(F.when(F.col("gap") > 0, F.struct("gap", (-F.col("k")).alias("first"), "mid"))).alias("best"))
     split = F.col("best.mid")
     # Centres left of the split are those up to the gap's left one.
     left = -F.col("best.first")
-    return best.where((F.col("n") >= 6) & (F.col("best.gap") > width * 0.15) & (left >= 3) & (F.col("n") - left >= 3)).select(*PAGE, split.alias("split_x"))
+    return best.where((F.col("n") >= 6) & (F.col("best.gap") > F.col("_w") * 0.15) & (left >= 3) & (F.col("n") - left >= 3)).select(*PAGE, split.alias("split_x"))
 
 
-def two_column_order(blocks: DataFrame, width: float) -> DataFrame:
+def two_column_order(blocks: DataFrame, width: float | Column) -> DataFrame:
     """Adds pos: column by column on pages in two columns, the default order elsewhere."""
     split = column_split(blocks, width)
     joined = default_order(blocks).withColumnRenamed("pos", "plain").join(split, PAGE, "left")
@@ -47,26 +49,25 @@ def two_column_order(blocks: DataFrame, width: float) -> DataFrame:
 
 
 def projection_columns(blocks: DataFrame, width_of: str = "width") -> DataFrame:
-    """Adds pos for pages of any number of columns, found as gaps in the smoothed projection on x."""
-    import numpy as np
-    import pandas as pd
-
-    def place(page: pd.DataFrame) -> pd.DataFrame:
-        width = float(page[width_of].iloc[0])
-        boxed = page["x0"].notna()
-        y, x = page["y0"].fillna(0), page["x0"].fillna(0)
-        column = np.zeros(len(page), int)
-        if width > 0:
-            cut = projection_gaps(page.loc[boxed, "x0"].to_numpy(), page.loc[boxed, "x1"].to_numpy(), width)
-            centre = ((page["x0"] + page["x1"]) / 2).to_numpy()
-            column = np.where(boxed, (centre[:, None] >= np.array(cut)[None, :]).sum(axis=1), 0) if cut else column
-        order = np.lexsort((page["block_seq"], x, y, column))
-        out = page.copy()
-        out.loc[page.index[order], "pos"] = np.arange(1, len(page) + 1)
-        return out.astype({"pos": "int64"})
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in blocks.dtypes) + ", pos bigint"
-    return blocks.groupBy(*PAGE).applyInPandas(place, schema)
+    """Adds pos for pages of any number of columns, found as gaps in the smoothed projection on x.
+
+    Pages are gathered once; the projection is one Arrow call for many pages,
+    all else stays in the JVM.
+    """
+    @F.pandas_udf("array<double>")
+    def cuts(x0: pd.Series, x1: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([projection_gaps(a, b, float(w)) if w and w > 0 else [] for a, b, w in zip(x0, x1, width, strict=True)])
+
+    columns = blocks.columns
+    boxed = F.filter("own", lambda b: b["x0"].isNotNull())
+    pages = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("block_seq", F.struct(*columns).alias("b")))).alias("s"))
+    pages = pages.withColumn("own", F.transform("s", lambda s: s["b"]))
+    pages = pages.withColumn("cuts", cuts(F.transform(boxed, lambda b: b["x0"]), F.transform(boxed, lambda b: b["x1"]), F.get("own", 0)[width_of].cast("double")))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    side = lambda b: F.when(b["x0"].isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: (b["x0"] + b["x1"]) / 2 >= c)))
+    placed = F.sort_array(F.transform("own", lambda b: F.struct(side(b).alias("side"), zero(b["y0"]).alias("y"), zero(b["x0"]).alias("x"), b["block_seq"].alias("seq"), b.alias("b"))))
+    out = pages.select(F.posexplode(placed).alias("p", "k"))
+    return out.select(*[F.col(f"k.b.`{c}`").alias(c) for c in columns], (F.col("p") + 1).cast("bigint").alias("pos"))
 
 
 def projection_gaps(x0, x1, width: float) -> list[float]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,41 +67,58 @@ def duration(seconds: Column) -> Column:
     return F.when(seconds.isNull() | F.isnan(seconds) | (seconds <= 0), "--:--").otherwise(clock)
 
 
+def placed(first: list[tuple], second: list[tuple]) -> list[int]:
+    """What a page shows of two engines' blocks (x0, y0, x1, y1, confidence): a place of the first, or len(first) and on of the second."""
+    boxes = np.array([[np.nan if v is None else v for v in b] for b in (*first, *second)], float).reshape(-1, 5)
+    n = len(first)
+    out = list(range(n))
+    held = np.full((len(boxes), 5), np.nan)
+    held[:n] = boxes[:n]
+    area = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
+    for j in range(n, len(boxes)):
+        b, best, at = boxes[j], 0.0, -1
+        if n and not np.isnan(b[0]):
+            own = held[: len(out)]
+            w = np.minimum(own[:, 2], b[2]) - np.maximum(own[:, 0], b[0])
+            h = np.minimum(own[:, 3], b[3]) - np.maximum(own[:, 1], b[1])
+            least = np.minimum(area(own), area(b))
+            fits = (w > 0) & (h > 0) & (least > 0)
+            share = np.where(fits, w * h / np.where(fits, least, 1.0), 0.0)
+            at = int(share.argmax())
+            best = float(share[at])
+        if best <= 0.5:
+            held[len(out)] = b
+            out.append(j)
+        elif np.nan_to_num(b[4]) > np.nan_to_num(held[at, 4]):
+            held[at], out[at] = b, j
+    return out
+
+
 def merge_engines(first: DataFrame, second: DataFrame) -> DataFrame:
     """Blocks of two OCR engines (doc_id, page_no, block_seq, text, x0..y1, confidence) as one list a page.
 
     A block of the second engine takes the place of the one it overlaps most,
     by over half of the smaller area, if it is surer; else it goes at the end,
-    where later blocks can meet it. Order matters, so each page is one fold.
+    where later blocks can meet it. Order matters, so each page is one fold;
+    pages are gathered by the JVM, and only boxes are handed over, many pages
+    at a time.
     """
     cols = ["block_seq", "text", "x0", "y0", "x1", "y1", "confidence", "engine"]
-
-    def merge(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = lambda d: d.sort_values("block_seq")[cols].to_dict("records") if len(d) else []
-        held = rows(left)
-        for b in rows(right):
-            best, at = 0.0, -1
-            if len(left) and not pd.isna(b["x0"]):
-                own = (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
-                for i, a in enumerate(held):
-                    if pd.isna(a["x0"]):
-                        continue
-                    w, h = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]), min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
-                    least = min(own, (a["x1"] - a["x0"]) * (a["y1"] - a["y0"]))
-                    if w > 0 and h > 0 and least > 0 and w * h / least > best:
-                        best, at = w * h / least, i
-            sure = lambda x: 0.0 if pd.isna(x["confidence"]) else x["confidence"]
-            if best <= 0.5:
-                held.append(b)
-            elif sure(b) > sure(held[at]):
-                held[at] = b
-        out = pd.DataFrame(held, columns=cols)
-        out["block_seq"] = range(len(out))
-        for k, name in zip(key, PAGE, strict=True):
-            out[name] = k
-        return out[[*PAGE, *cols]]
-
-    schema = "doc_id bigint, page_no int, block_seq int, text string, x0 double, y0 double, x1 double, y1 double, confidence double, engine string"
-    # Fresh columns: where both sides come from one table, a cogroup mixes up columns they share.
-    fresh = lambda d: d.select(*[F.col(c).alias(c) for c in (*PAGE, *cols)]).groupBy(*PAGE)
-    return fresh(first).cogroup(fresh(second)).applyInPandas(merge, schema)
+    box = ("x0", "y0", "x1", "y1", "confidence")
+
+    @F.pandas_udf("array<int>")
+    def order(*sides: pd.Series) -> pd.Series:
+        pages = zip(*sides, strict=True)
+        rows = lambda columns: [] if columns[0] is None else list(zip(*columns, strict=True))
+        return pd.Series([placed(rows(page[:5]), rows(page[5:])) for page in pages])
+
+    def gathered(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+
+    met = gathered(first, "a").join(gathered(second, "b"), PAGE, "full")
+    none = F.array().cast(met.schema["a"].dataType)
+    met = met.withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none.cast(met.schema["b"].dataType))})
+    field = lambda side, k: F.transform(side, lambda b: b[k].cast("double"))
+    fields = [field(side, k) for side in ("a", "b") for k in box]
+    shown = met.select(*PAGE, F.concat("a", "b").alias("both"), F.posexplode(order(*fields)).alias("block_seq", "i"))
+    return shown.select(*PAGE, "block_seq", *[F.get("both", F.col("i"))[c].alias(c) for c in cols[1:]])

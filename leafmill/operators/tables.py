@@ -61,7 +61,7 @@ def group_rows(blocks: DataFrame) -> DataFrame:
         middle = F.get(F.sort_array(acc["centres"]), F.floor(F.size(acc["centres"]) / 2).cast("int"))
         same = F.coalesce(F.abs(centre - middle) <= F.col("tolerance"), F.lit(False))
         row = F.when(same, acc["row"]).otherwise(acc["row"] + 1)
-        return F.struct(row.alias("row"), F.when(same, F.concat(acc["centres"], F.array(centre))).otherwise(F.array(centre)).alias("centres"), F.concat(acc["rows"], F.array(row)).alias("rows")).cast(kind)
+        return F.struct(row.alias("row"), F.when(same, F.concat(acc["centres"], F.array(centre))).otherwise(F.array(centre)).alias("centres"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
     start = F.struct(F.lit(-1).alias("row"), F.array().cast("array<double>").alias("centres"), F.array().cast("array<int>").alias("rows")).cast(kind)
     placed = pages.select(*PAGE, "tolerance", F.explode(F.arrays_zip(F.transform("own", lambda b: b["block_seq"]).alias("block_seq"), F.aggregate("own", start, step)["rows"].alias("row"))).alias("z"))

@@ -165,9 +165,13 @@ def tick_pairing(spark, sf_dir):
     return charts.pair_ticks(ticks, labels, keys)
 
 
-@query()
+@query("""
+    WITH a AS (SELECT k, CAST(z AS INTEGER) AS z, 60.0 * z + 13 * k AS x, 45.0 * (z * 7 % 9) AS y FROM range(3) AS t(k), range(1, 10) AS u(z)),
+    p AS (SELECT event_id AS point_id, event_id % 3 AS k, value AS px, CAST(event_id % 400 AS DOUBLE) AS py FROM events),
+    o AS (SELECT k, point_id, z, row_number() OVER (PARTITION BY point_id ORDER BY sqrt((px - x) ** 2 + (py - y) ** 2), z) AS r FROM p JOIN a USING (k))
+    SELECT k, point_id, string_agg(z, ',' ORDER BY r) FILTER (r <= 3) AS class_candidates, min(z) FILTER (r = 1) AS class FROM o GROUP BY 1, 2""")
 def zone_candidates(spark, sf_dir):
-    """Three nearest anchors of each point; held against a Python version in the tests."""
     anchors = spark.createDataFrame([(k, z, 60.0 * z + 13 * k, 45.0 * (z * 7 % 9)) for k in range(3) for z in range(1, 10)], "k bigint, zone int, x double, y double")
     points = table(spark, sf_dir, "events").selectExpr("event_id AS point_id", "event_id % 3 AS k", "value AS px", "CAST(event_id % 400 AS DOUBLE) AS py")
-    return charts.anchor_candidates(points, F.broadcast(anchors), ["k"])
+    found = charts.anchor_candidates(points, F.broadcast(anchors), ["k"])
+    return found.withColumn("class_candidates", F.array_join(F.col("class_candidates").cast("array<string>"), ","))

@@ -52,7 +52,7 @@ def required_terms_score(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     k = items.count()
     ranked = items.selectExpr("row_number() OVER (ORDER BY item_id) - 1 AS r", "array_distinct(regexp_extract_all(lower(text), '[a-z]{3,}', 0)) AS terms").select("r", F.explode("terms").alias("term"))
-    terms = docs.select("doc_id", (F.col("doc_id") % k).alias("r")).join(F.broadcast(ranked), "r").select("doc_id", "term")
+    terms = docs.select("doc_id", (F.col("doc_id") % k).alias("r")).join(ranked, "r").select("doc_id", "term")
     return evals.required_terms(docs, terms).select("doc_id", "n_terms", "n_found")
 
 

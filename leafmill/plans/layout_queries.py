@@ -139,12 +139,25 @@ def rag_chunks(spark, sf_dir):
     return render.chunks(_with_tables(spark, sf_dir))
 
 
-@query()
+@query(f"""
+    WITH {LINES} {TYPED} {_TABLED}, k AS (SELECT doc_id, page_no, pos, type, {squeeze_sql('text')} AS s, confidence FROM placed),
+    p AS (SELECT doc_id, page_no, string_agg(chr(10) || type || ' conf=' || confidence || ': ' || s, '' ORDER BY pos) AS s FROM k WHERE s <> '' OR type = 'table' GROUP BY 1, 2),
+    a AS (SELECT DISTINCT doc_id, page_no FROM typed)
+    SELECT doc_id, {strip_sql("'LEAFMILL_TEXT v1' || chr(10) || 'source: ' || doc_id || chr(10) || 'pages: ' || count(*) || string_agg(chr(10) || chr(10) || '[page ' || (page_no + 1) || ']' || coalesce(s, ''), '' ORDER BY page_no)")} || chr(10) AS text
+    FROM a LEFT JOIN p USING (doc_id, page_no) GROUP BY 1""")
 def render_legacy(spark, sf_dir):
     return render.legacy(_with_tables(spark, sf_dir))
 
 
-@query()
+@query(f"""
+    WITH {LINES} {TYPED} {_TABLED},
+    k AS (SELECT doc_id, page_no, pos, type, CASE type WHEN 'heading' THEN '## ' || {squeeze_sql('text')} WHEN 'table' THEN '[TABLE]' || chr(10) || {strip_sql('text')} || chr(10) || '[/TABLE]' ELSE {squeeze_sql('text')} END AS s FROM placed),
+    f AS (SELECT *, type <> 'table' AND coalesce(lag(type) OVER (PARTITION BY doc_id, page_no ORDER BY pos) <> 'table', false) AS parted FROM k WHERE s <> ''),
+    p AS (SELECT doc_id, page_no, string_agg(CASE WHEN parted THEN chr(10) || '¶' ELSE '' END || chr(10) || s, '' ORDER BY pos) AS s FROM f GROUP BY 1, 2),
+    a AS (SELECT DISTINCT doc_id, page_no FROM typed),
+    l AS (SELECT doc_id, bool_or(regexp_matches(text, '[一-鿿\\x{{3040}}-\\x{{30ff}}가-\\x{{d7af}}]')) AS c, bool_or(regexp_matches(text, '[A-Za-z]')) AS e FROM lines GROUP BY doc_id)
+    SELECT doc_id, {strip_sql("'---' || chr(10) || 'src: ' || doc_id || chr(10) || 'pgs: ' || count(*) || chr(10) || 'lang: ' || CASE WHEN any_value(c) AND any_value(e) THEN 'zh+en' WHEN any_value(c) THEN 'zh' ELSE 'en' END || chr(10) || '---' || string_agg(chr(10) || chr(10) || '[page ' || (page_no + 1) || ']' || coalesce(s, ''), '' ORDER BY page_no)")} || chr(10) AS text
+    FROM a LEFT JOIN p USING (doc_id, page_no) JOIN l USING (doc_id) GROUP BY 1""")
 def render_lean(spark, sf_dir):
     return render.lean(_with_tables(spark, sf_dir))
 

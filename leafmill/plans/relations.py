@@ -35,9 +35,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, by: str, small: int = 32 << 20) -> DataFrame:
+    """Rows of a table of under ``small`` bytes a core, by key over all cores; others as they are.
+
+    A row group is one task, whatever the number of splits, so a small table
+    would keep one core busy; a large one has row groups for all.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores, by) if size < cores * small else rows
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_no, block_seq, text, x0..y1, confidence of every line of every document."""
-    own = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    own = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     extra = spark.createDataFrame(list(FIXTURE), "doc_id bigint, n int, text string")
     row = F.col("n") % PAGE_LINES
     x0, y0 = (72 + 260 * (F.col("n") % 2)).cast("double"), (40 + 18 * row).cast("double")

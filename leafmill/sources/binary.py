@@ -15,16 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import raster
-from leafmill.operators.runtime import route
+from leafmill.operators import charts
+from leafmill.operators.runtime import ocr_mode, route
 
 IMAGES = "path string, page_no int, width int, height int, pixels binary, error string"
 SPANS = "path string, page_no int, span_seq int, x double, y double, font_size double, text string, width double, height double, n_images int, error string"
 WORDS = "path string, page_no int, word_seq int, block_num int, par_num int, line_num int, left double, top double, width double, height double, conf double, text string, error string"
 OCR_SECONDS = 120
+#: Tasks among which the pages of a PDF are dealt out.
+RENDER_LOTS = 4
 
 
 def discover(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
@@ -44,8 +47,10 @@ def decode(content: bytes) -> np.ndarray:
                 at = content.index(b"\n", at)
                 continue
             end = at
-            while not content[end : end + 1].isspace():
+            while end < len(content) and not content[end : end + 1].isspace():
                 end += 1
+            if end == at:
+                raise ValueError("the header ends early")
             head.append(int(content[at:end]))
             at = end
         w, h, top = head
@@ -153,23 +158,24 @@ def ocr_binary() -> str | None:
     return os.environ.get("TESSERACT_CMD") or shutil.which("tesseract")
 
 
-def ocr(pages: DataFrame, lang: str = "eng", psm: int = 3, whitelist: str = "") -> DataFrame:
-    """Words of grey pages by the OCR binary, fed through a pipe, with a time limit a page."""
+def ocr(pages: DataFrame, lang: str = "eng", psm: int | None = None, whitelist: str = "", command: str | None = None) -> DataFrame:
+    """Words of grey pages by the OCR binary, fed through a pipe, with a time limit a page; psm by language and shape unless given."""
+    mode = ocr_mode(F.lit(lang), F.col("width") / F.col("height")) if psm is None else F.lit(psm)
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
         import io
 
         names = [c.split()[0] for c in WORDS.split(", ")]
-        binary = ocr_binary()
+        binary = command or ocr_binary()
         for part in parts:
             rows = []
-            for path, page, w, h, pixels in part[["path", "page_no", "width", "height", "pixels"]].itertuples(index=False):
+            for path, page, w, h, pixels, mode in part[["path", "page_no", "width", "height", "pixels", "mode"]].itertuples(index=False):
                 try:
                     if binary is None:
                         raise FileNotFoundError("no OCR binary")
-                    command = [binary, "stdin", "stdout", "-l", lang, "--psm", str(psm), *(["-c", f"tessedit_char_whitelist={whitelist}"] if whitelist else []), "tsv"]
-                    done = subprocess.run(command, input=b"P5 %d %d 255\n" % (w, h) + pixels, capture_output=True, timeout=OCR_SECONDS, check=True)
+                    line = [binary, "stdin", "stdout", "-l", lang, "--psm", str(mode), *(["-c", f"tessedit_char_whitelist={whitelist}"] if whitelist else []), "tsv"]
+                    done = subprocess.run(line, input=b"P5 %d %d 255\n" % (w, h) + pixels, capture_output=True, timeout=OCR_SECONDS, check=True)
                     for i, r in enumerate(csv.DictReader(io.StringIO(done.stdout.decode("utf-8", "replace")), delimiter="\t", quoting=csv.QUOTE_NONE)):
                         if (r.get("text") or "").strip():
                             rows.append((path, page, i, *(int(r[k]) for k in ("block_num", "par_num", "line_num")), *(float(r[k]) for k in ("left", "top", "width", "height", "conf")), r["text"], None))
@@ -178,7 +184,70 @@ def ocr(pages: DataFrame, lang: str = "eng", psm: int = 3, whitelist: str = "")
             frame = pd.DataFrame(rows, columns=names)
             yield frame.astype({k: "Int32" for k in ("page_no", "word_seq", "block_num", "par_num", "line_num")} | {k: "Float64" for k in ("left", "top", "width", "height", "conf")})
 
-    return pages.where("error IS NULL").mapInPandas(work, WORDS)
+    return pages.where("error IS NULL").withColumn("mode", mode).mapInPandas(work, WORDS)
+
+
+def rendered(files: DataFrame, scale: float = 2.0, handwriting: bool = False) -> DataFrame:
+    """Pages of PDFs as grey images, for those without native text; a file that can't be drawn is one row with an error.
+
+    Files are dealt out by page range, so that one long document isn't one task.
+    """
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, content, lot in zip(part["path"], part["content"], part["lot"], strict=True):
+                rows = []
+                try:
+                    import pypdfium2
+
+                    book = pypdfium2.PdfDocument(content)
+                    for n in range(int(lot), len(book), RENDER_LOTS):
+                        page = np.asarray(book[n].render(scale=scale).to_numpy())
+                        if angle := raster.skew(page):
+                            page = rotate(page, angle)
+                        page = prepare(page, handwriting)
+                        rows.append((path, n, page.shape[1], page.shape[0], page.tobytes(), None))
+                except Exception as error:  # noqa: BLE001 - a bad file is a row of the run's status
+                    rows = [(path, 0, None, None, None, f"{type(error).__name__}: {error}")] if lot == 0 else []
+                yield pd.DataFrame(rows, columns=["path", "page_no", "width", "height", "pixels", "error"]).astype({"page_no": "Int32", "width": "Int32", "height": "Int32"})
+
+    lots = files.where("kind = 'pdf'").select("path", "content", F.explode(F.sequence(F.lit(0), F.lit(RENDER_LOTS - 1))).alias("lot"))
+    return lots.mapInPandas(work, IMAGES)
+
+
+_ITEMS = (
+    "path string, page_no int, seq int, item_type string, panel_id string, class int, class_candidates array<int>, start_depth double, end_depth double, depth double, "
+    "depth_tolerance double, color string, source string, px0 double, py0 double, px1 double, py1 double"
+)
+
+
+def chart_pages(files: DataFrame, names: list[str] | None = None, deskew: bool = True) -> DataFrame:
+    """Chart items of image files: by colour, merged and deduplicated, else axis frames; zones beside them."""
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fields = [c.split()[0] for c in _ITEMS.split(", ")]
+        for part in parts:
+            rows = []
+            for path, content in zip(part["path"], part["content"], strict=True):
+                try:
+                    page = decode(content)
+                    if deskew and (angle := raster.skew(page)):
+                        page = rotate(page, angle)
+                    items = ({"path": path, "page_no": 0, "seq": i, **item} for i, item in enumerate(raster.chart_items(page, names)))
+                    rows += [[item.get(f) for f in fields] for item in items]
+                except Exception:  # noqa: BLE001, S112 - the same file fails in images(), which reports it
+                    continue
+            frame = pd.DataFrame(rows, columns=fields, dtype=object)
+            yield frame.astype({"page_no": "Int32", "seq": "Int32", "class": "Int32", **{k: "Float64" for k in fields if "depth" in k or k[0] == "p" and k[-1].isdigit()}})
+
+    found = files.where("kind IS NULL OR kind = 'image'").select("path", "content").mapInPandas(work, _ITEMS)
+    keys = ("path", "page_no", "panel_id", "class", "color")
+    place = found.groupBy(*keys).agg(F.min("seq").alias("first"))
+    own = charts.deduplicate(found.where("source = 'color'"), keys).drop("seq", "source", "px0", "py0", "px1", "py1")
+    own = own.join(place, list(keys)).withColumns({"seq": F.col("first"), "source": F.lit("color")}).drop("first")
+    every = own.unionByName(found.where("source <> 'color'"), allowMissingColumns=True)
+    order = Window.partitionBy("path", "page_no").orderBy("seq", "item_type", F.coalesce("start_depth", "depth"))
+    return every.withColumn("seq", F.row_number().over(order) - 1)
 
 
 def chart_structures(pages: DataFrame) -> DataFrame:
