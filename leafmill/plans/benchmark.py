@@ -111,9 +111,10 @@ def benchmark(spark: SparkSession, manifest: str, outputs: str) -> Run:
     pairs = ids.select("doc_id").join(found(actual, "actual"), "doc_id", "left").join(found(golden, "golden"), "doc_id", "left")
     error = F.when(F.col("actual").isNull(), "no output").when(F.col("golden").isNull(), "no golden").when(route(F.col("golden")).isNull() | F.json_object_keys("actual").isNull(), "not JSON")
     pairs = pairs.withColumn("error", error)
-    metrics = compare(pairs.where("error IS NULL").select("doc_id", "actual", "golden"))
+    # A few rows a document, read by every roll-up.
+    metrics = compare(pairs.where("error IS NULL").select("doc_id", "actual", "golden")).persist()
     overall = evals.weighted(metrics).select("doc_id", F.round("overall", 4).alias("overall"))
     scores = rows.select("doc_id", "seq").join(pairs.select("doc_id", "error"), "doc_id").join(overall, "doc_id", "left").withColumn("overall", F.coalesce("overall", F.lit(0.0)))
-    scores = scores.withColumn("status", evals.status(F.col("overall"), F.col("error")))
+    scores = scores.withColumn("status", evals.status(F.col("overall"), F.col("error"))).persist()
     gaps = evals.gaps(scores.where("error IS NULL"), rows.drop("seq", "path"))
     return Run(metrics, scores, evals.summary(scores), gaps, evals.weakest(gaps))
