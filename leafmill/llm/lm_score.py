@@ -17,10 +17,13 @@ than a whole one but for the filter's errors.
 Everything is counted over all training documents: map tasks combine, counts
 are routed by hash into segments, sorted by the JVM, and each segment is built
 by itself and written to the shared folder; a segment without tokens is an
-empty file there, so that a lost one is an error and not a zero.  While the
+empty file there, so that a lost one is an error and not a zero.  Sorted keys
+of one segment travel as one row, as differences in few bytes.  While the
 model takes at most MODEL_BYTES it is put together and memory-mapped by every
-worker; beyond that words and bigrams are routed, salted, to their segments and
-the sums of logarithms come back.  Both ways give the same numbers.
+worker.  Beyond that documents are packed into chunks of CHUNK_BYTES, of which
+each asks every segment once for its distinct words and bigrams; counts come
+back in the order asked, a byte for a bigram, to one file a chunk, and the
+chunk is scored against that file.  Both ways give the same numbers.
 
 Cases: null and empty texts are one end token; with no training documents all
 words are unknown and N = V = 0; an empty table gives an empty one; very long
@@ -43,7 +46,7 @@ from leafmill.llm.scratch import Scratch, only, read_file, write_file, write_par
 from leafmill.llm.words import U64, mix, runs, scan
 
 FOLDS, HELD, MIX, BASE, BITS, PROBES = 7, 2, 0.4, 1.5, 16, 5
-MODEL_BYTES, SEGMENT_BYTES = 1 << 30, 1 << 22
+MODEL_BYTES, SEGMENT_BYTES, CHUNK_BYTES = 1 << 30, 1 << 22, 1 << 24
 END = U64(0x0E0D0E0D0E0D0E0D)
 _LEFT, _RIGHT, _STEP = U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5)
 
@@ -71,17 +74,69 @@ def combine(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def packed(keys: np.ndarray, bits: int, kind: int, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Sorted distinct keys as a row a segment: (segment, width, keys[, n]); keys as differences of ``width`` bytes."""
+    place = (keys >> U64(64 - bits)).astype(np.int32)
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
+    step = np.diff(keys, prepend=keys[:1])
+    step[first] = keys[first] - (place[first].astype(U64) << U64(64 - bits))
+    width = _width(step)
+    bounds = np.r_[first, len(keys)]
+    for lo in range(0, len(first), 10_000):
+        part = bounds[lo : lo + 10_001]
+        own = slice(part[0], part[-1])
+        columns = {"segment": pa.array(place[part[:-1]] + (kind << bits)), "width": pa.array(np.full(len(part) - 1, width, np.int32)), "keys": _blobs(step[own], width, part - part[0])}
+        if counts is not None:
+            size = _width(counts[own].view(U64))
+            columns |= {"n_width": pa.array(np.full(len(part) - 1, size, np.int32)), "n": _blobs(counts[own].view(U64), size, part - part[0])}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def _width(values: np.ndarray) -> int:
+    return max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+
+
+def _blobs(values: np.ndarray, width: int, bounds: np.ndarray) -> pa.Array:
+    """uint64 values as ``width`` bytes each, cut at bounds."""
+    data = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _flat(column: pa.Array, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The uint64 values of a column of blobs whose rows have values of ``width`` bytes, and the rows' bounds."""
+    if not len(column):
+        return np.zeros(0, U64), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    bounds = np.r_[0, np.cumsum(np.diff(at) // width)]
+    out = np.zeros((bounds[-1], 8), np.uint8)
+    new = np.flatnonzero(np.r_[True, width[1:] != width[:-1]][: len(width)])
+    for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(width)], strict=True):
+        out[bounds[lo] : bounds[hi], : width[lo]] = data[at[lo] : at[hi]].reshape(-1, width[lo])
+    return out.view("<u8")[:, 0], bounds
+
+
+def unpacked(batch: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of rows that ``packed`` made, and the rows' bounds."""
+    step, bounds = _flat(batch["keys"], batch["width"].to_numpy())
+    total = np.r_[U64(0), np.cumsum(step)]
+    base = (batch["segment"].to_numpy().astype(U64) & U64((1 << bits) - 1)) << U64(64 - bits)
+    return total[1:] + np.repeat(base - total[bounds[:-1]], np.diff(bounds)), bounds
+
+
+PACKED = "segment int, width int, keys binary"
+
+
 def _counting(bits: int, most: int = 4_000_000):
-    """Map side: (segment, key, n), combined in the task; bigrams' segments follow those of words."""
+    """Map side: keys of a segment and their counts, combined in the task; bigrams' segments follow those of words."""
 
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for kind, parts in enumerate(held):
             if parts:
                 keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                segment = (keys >> U64(64 - bits)).astype(np.int32) + (kind << bits)
-                for i in range(0, len(keys), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(segment[i : i + 50_000]), pa.array(keys[i : i + 50_000].view(np.int64)), pa.array(counts[i : i + 50_000])], ["segment", "key", "n"])
                 parts.clear()
+                yield from packed(keys, bits, kind, counts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
@@ -141,13 +196,15 @@ def _building(root: str, bits: int):
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([size], pa.int64()), pa.array([tokens_of], pa.int64())], ["segment", "size", "tokens"])
 
         for batch in batches:
-            segment, key, n = (batch[c].to_numpy() for c in ("segment", "key", "n"))
+            segment = batch["segment"].to_numpy()
+            key, at = unpacked(batch, bits)
+            n = _flat(batch["n"], batch["n_width"].to_numpy())[0].view(np.int64)
             bounds = np.r_[np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]][: len(segment)]), len(segment)]
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if held and segment[lo] != now:
                     yield built()
                 now = int(segment[lo])
-                held.append((key[lo:hi].copy(), n[lo:hi].copy()))
+                held.append((key[at[lo] : at[hi]].copy(), n[at[lo] : at[hi]].copy()))
         if held:
             yield built()
 
@@ -232,8 +289,8 @@ def fit(docs: DataFrame, scratch: Scratch, model_bytes: int = MODEL_BYTES) -> Mo
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, (size // SEGMENT_BYTES).bit_length())
     root = f"{scratch.root}/model"
-    rows = docs.mapInArrow(_counting(bits), "segment int, key bigint, n bigint").repartition("segment").sortWithinPartitions("segment")
-    parts = scratch.save(rows.mapInArrow(_building(root, bits), "segment int, size bigint, tokens bigint"), "segments")
+    rows = docs.mapInArrow(_counting(bits), f"{PACKED}, n_width int, n binary").repartition("segment").sortWithinPartitions("segment")
+    parts = scratch.save(rows.mapInArrow(_building(root, bits), "segment int, size bigint, tokens bigint"), "segments", tidy=True)
     of_word = F.col("segment") < (1 << bits)
     total, distinct, words = parts.agg(F.sum(F.when(of_word, F.col("tokens"))), F.sum(F.when(of_word, F.col("size"))), F.sum(F.when(~of_word, F.col("size")))).first()
     total, distinct, words = total or 0, distinct or 0, words or 0
@@ -264,58 +321,153 @@ def fit(docs: DataFrame, scratch: Scratch, model_bytes: int = MODEL_BYTES) -> Mo
     return Model(root, bits, total, distinct, sizes)
 
 
+FOUND = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _summed(model: Model, doc_id: pa.Array, text: pa.Array, counts, levels) -> pa.RecordBatch:
+    """Scores of some texts; counts: of sorted distinct words, levels: of bigrams where asked for."""
+    parts = []
+    for _, bounds, token, before in tokens(text):
+        keys, at = np.unique(token, return_inverse=True)
+        of_token = counts(keys)[at]
+        of_before = np.r_[counts(np.array([END]))[:1], of_token[:-1]]
+        level = levels(bigrams(before, token), (of_token > 0) & (of_before > 0))
+        first = bounds[:-1]
+        logs = (np.log10(model.unigram(of_token)), np.log10(model.mixed(level, of_before, of_token)))
+        parts.append([np.diff(bounds), np.add.reduceat((of_token > 0).astype(np.int64), first), *[np.add.reduceat(x, first) for x in logs]])
+    columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)] if parts else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+    return pa.RecordBatch.from_arrays([doc_id, *columns], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
 def _whole(model: Model):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for _, bounds, token, before in tokens(batch["text"]):
-                keys, at = np.unique(token, return_inverse=True)
-                of_token = model.counts(keys)[at]
-                of_before = np.r_[model.counts(np.array([END]))[:1], of_token[:-1]]
-                level = model.levels(bigrams(before, token), (of_token > 0) & (of_before > 0))
-                first = bounds[:-1]
-                logs = (np.log10(model.unigram(of_token)), np.log10(model.mixed(level, of_before, of_token)))
-                parts.append([np.diff(bounds), np.add.reduceat((of_token > 0).astype(np.int64), first), *[np.add.reduceat(x, first) for x in logs]])
-            columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)] if parts else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            yield _summed(model, batch["doc_id"], batch["text"], model.counts, model.levels)
 
     return work
 
 
-def _routed(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """Scores when the model is too large for a worker: tokens travel to the segments."""
+def _chunks(most: int):
+    """Gather documents to rows of about ``most`` bytes of text, each a table in Arrow's format; a longer text is one of its own."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blob(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            for part in parts:
+                to.write_batch(part)
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["docs"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for lo, bounds, token, before in tokens(batch["text"]):
-                row = batch["row"].take(pa.array(np.repeat(np.arange(len(bounds) - 1) + lo, np.diff(bounds))))
-                yield pa.RecordBatch.from_arrays([row, pa.array(token.view(np.int64)), pa.array(before.view(np.int64))], ["row", "token", "before"])
+            for lo, hi, data, _ in runs(batch["text"]):
+                if held and size + len(data) > most:
+                    yield blob(held)
+                    held, size = [], 0
+                # Slices of a batch would be written with its whole buffers' life; a copy is as long as its run.
+                held.append(batch.slice(lo, hi - lo).take(pa.array(np.arange(hi - lo))))
+                size += len(data)
+        if held:
+            yield blob(held)
+
+    return work
+
+
+def _opened(docs: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(docs.as_buffer())
 
-    def count(column: str, to: str):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, at = np.unique(batch[column].to_numpy().view(U64), return_inverse=True)
-                yield batch.append_column(to, pa.array(model.counts(keys)[at]))
 
-        return work
+def _asked(docs: pa.Scalar) -> list[np.ndarray]:
+    """The distinct words and bigrams of a chunk, sorted."""
+    held: list[list[np.ndarray]] = [[], []]
+    for part in _opened(docs):
+        for _, _, token, before in tokens(part["text"]):
+            held[0].append(np.unique(token))
+            held[1].append(np.unique(bigrams(before, token)))
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, U64) for x in held]
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _chunk_file(root: str, chunk: int) -> str:
+    return f"{root}/answers/{chunk}.bin"
+
+
+def _chunked(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+    """Scores when the model is too large for a worker: chunks ask the segments for what they hold, once each."""
+    bits = model.bits
+    root = scratch.root
+    chunks = scratch.save(docs.mapInArrow(_chunks(CHUNK_BYTES), "docs binary").withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, before = (batch[c].to_numpy().view(U64) for c in ("token", "before"))
-            of_token, of_before = batch["of_token"].to_numpy(), batch["of_before"].to_numpy()
-            level = model.levels(bigrams(before, token), (of_token > 0) & (of_before > 0))
-            columns = [batch["row"], pa.array((of_token > 0).astype(np.int64)), pa.array(np.log10(model.unigram(of_token))), pa.array(np.log10(model.mixed(level, of_before, of_token)))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "known", "base", "mixed"])
+            for chunk, docs in zip(batch["chunk"].to_pylist(), batch["docs"], strict=True):
+                for kind, keys in enumerate(_asked(docs)):
+                    for rows in packed(keys, bits, kind):
+                        yield rows.append_column("chunk", pa.array(np.full(rows.num_rows, chunk, np.int64)))
 
-    def to(column, spread: str):
-        # Tokens of a segment lie together, a hot token's spread over 16 places.
-        return [F.shiftrightunsigned(column, 64 - model.bits), F.pmod(F.xxhash64(spread), F.lit(16))]
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, bounds = unpacked(batch, bits)
+            segment = batch["segment"].to_numpy()
+            words = int(np.searchsorted(segment, 1 << bits))  # rows are sorted by segment
+            cut = bounds[words]
+            counts, levels = model.counts(keys[:cut]), model.levels(keys[cut:], np.ones(len(keys) - cut, bool))
+            total = np.r_[U64(0), np.cumsum(mix(keys))]
+            mark = (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
+            for lo, hi, values, width in ((0, words, counts, 8), (words, batch.num_rows, np.minimum(levels, 255), 1)):
+                own = bounds[lo : hi + 1] - bounds[lo]
+                yield pa.RecordBatch.from_arrays([batch["chunk"].slice(lo, hi - lo), pa.array(segment[lo:hi]), pa.array(mark[lo:hi]), _blobs(values.view(U64), width, own)], ["chunk", "segment", "mark", "answer"])
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows are sorted by chunk and segment: answers stand in the order of the chunk's keys, words first.
+        now, mark, held = -1, U64(0), ([], [])
+
+        def written() -> pa.RecordBatch:
+            blobs = [np.concatenate(x).tobytes() if x else b"" for x in held]
+            small = [pa.compress(x, "zstd", asbytes=True) for x in blobs]
+            head = np.array([mark, *map(len, blobs), *map(len, small)], U64).tobytes()
+            body = head + b"".join(small)
+            write_file(_chunk_file(root, now), body + b"\0" * (-len(body) % 8))
+            for x in held:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], ["chunk"])
 
-    rows = docs.mapInArrow(emit, "row bigint, token bigint, before bigint")
-    rows = rows.repartition(*to(F.col("token"), "before")).mapInArrow(count("token", "of_token"), "row bigint, token bigint, before bigint, of_token bigint")
-    rows = rows.repartition(*to(F.col("before"), "token")).mapInArrow(count("before", "of_before"), "row bigint, token bigint, before bigint, of_token bigint, of_before bigint")
-    found = rows.repartition(F.xxhash64("before", "token")).mapInArrow(sums, "row bigint, known bigint, base double, mixed double")
-    return found.groupBy("row").agg(F.count("*").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("mixed").alias("score"))
+        for batch in batches:
+            chunk, segment, marks = (batch[c].to_numpy() for c in ("chunk", "segment", "mark"))
+            of_word = segment < 1 << bits
+            data, at = _flat(batch["answer"], np.where(of_word, 8, 1))
+            new = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)])
+            for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(chunk)], strict=True):
+                if now >= 0 and chunk[lo] != now:
+                    yield written()
+                    mark = U64(0)
+                now, cut = int(chunk[lo]), lo + int(of_word[lo:hi].sum())
+                mark = np.add.reduce(np.r_[mark, marks[lo:hi].view(U64)])
+                held[0].append(data[at[lo] : at[cut]].copy())
+                held[1].append(data[at[cut] : at[hi]].astype(np.uint8))
+        if now >= 0:
+            yield written()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, docs in zip(batch["chunk"].to_pylist(), batch["docs"], strict=True):
+                words, pairs = _asked(docs)
+                body = read_file(_chunk_file(root, chunk)).tobytes()
+                mark, *sizes = np.frombuffer(body[:40], U64).tolist()
+                bounds = 40 + np.cumsum([0, *sizes[2:]])
+                of_word, of_pair = (np.frombuffer(pa.decompress(body[bounds[i] : bounds[i + 1]], sizes[i], "zstd", asbytes=True), kind) for i, kind in enumerate((np.int64, np.uint8)))
+                if (len(of_word), len(of_pair)) != (len(words), len(pairs)) or int(np.add.reduce(mix(words))) + int(np.add.reduce(mix(pairs))) - mark & (1 << 64) - 1:
+                    raise ValueError(f"answers of chunk {chunk} are not to its own words")
+                counts = lambda keys, w=words, n=of_word: n[np.searchsorted(w, keys)]
+                levels = lambda keys, asked, p=pairs, n=of_pair: np.where(asked, n[np.searchsorted(p, keys)], 0)
+                for part in _opened(docs):
+                    yield _summed(model, part["doc_id"], part["text"], counts, levels)
+
+    asked = chunks.mapInArrow(ask, f"{PACKED}, chunk bigint").repartition("segment").sortWithinPartitions("segment")
+    answers = scratch.save(asked.mapInArrow(answer, "chunk bigint, segment int, mark bigint, answer binary"), "answers", tidy=True)
+    filed = answers.repartition("chunk").sortWithinPartitions("chunk", "segment").mapInArrow(file, "chunk bigint")
+    scratch.save(filed, "filed", tidy=True)
+    scratch.drop(answers)
+    return scratch.save(chunks.mapInArrow(score, FOUND), "scores")
 
 
 def lm_scores(docs: DataFrame, scratch: Scratch | None = None, model_bytes: int = MODEL_BYTES) -> DataFrame:
@@ -325,10 +477,9 @@ def lm_scores(docs: DataFrame, scratch: Scratch | None = None, model_bytes: int
     held = fold(F.col("doc_id"), FOLDS) == HELD
     model = fit(texts.where(~held), scratch, model_bytes)
     if model.sizes is not None:
-        found = texts.mapInArrow(_whole(model), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+        found = texts.mapInArrow(_whole(model), FOUND)
     else:
-        numbered = scratch.save(texts.withColumn("row", F.monotonically_increasing_id()), "numbered")
-        found = numbered.select("doc_id", "row").join(_routed(numbered, model, scratch), "row")
+        found = _chunked(texts, model, scratch)
     return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

@@ -145,6 +145,47 @@ def test_lm_scores(spark, model_bytes):
     assert off <= 0.003 * total  # the filter's errors
 
 
+def test_lm_scores_of_a_large_model_move_little(spark):
+    """Beyond the memory-mapped model no token is shuffled, only the distinct keys of chunks and answers to them."""
+    rows = [(i, prose(i, 1500)) for i in range(200)]
+    docs = frame(spark, rows).coalesce(2).persist()
+    assert docs.count() == 200
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs, model_bytes=0).collect()}
+    moved = shuffled() - before
+    assert moved <= 4 * sum(len(t) for _, t in rows)
+    assert got == {r.doc_id: r for r in lm_score.lm_scores(docs).collect()}
+    docs.unpersist()
+
+
+def test_lm_scores_over_several_chunks(spark, monkeypatch):
+    rows = awkward() + [(1000 + i, prose(i, 300)) for i in range(60)]
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 5000, raising=False)
+    monkeypatch.setattr(lm_score, "SEGMENT_BYTES", 10_000)
+    some = lambda n: sorted(tuple(r) for r in lm_score.lm_scores(frame(spark, rows), model_bytes=n).collect())
+    assert some(0) == some(1 << 30)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), unique=True, max_size=60), st.integers(4, 30))
+def test_keys_packed_by_segment_come_back(keys, bits):
+    keys = np.array(sorted(keys), np.uint64)
+    counts = np.arange(1, len(keys) + 1) ** 5
+    rows = list(lm_score.packed(keys, bits, 0, counts))
+    assert bool(rows) == bool(len(keys))
+    for batch in rows:
+        found, bounds = lm_score.unpacked(batch, bits)
+        assert (found == keys).all() and len(bounds) == batch.num_rows + 1
+        assert (np.repeat(batch["segment"].to_numpy(), np.diff(bounds)) == (keys >> np.uint64(64 - bits)).astype(np.int64)).all()
+        assert (lm_score._flat(batch["n"], batch["n_width"].to_numpy())[0] == counts.astype(np.uint64)).all()
+
+
 def test_lm_scores_without_training(spark):
     got = lm_score.lm_scores(frame(spark, [(5, "a b")] if zlib.crc32(b"5") % 7 == 2 else [(next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2), "a b")])).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got] == [(3, 0, 0, 0.0)]
