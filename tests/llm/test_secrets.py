@@ -94,6 +94,43 @@ def test_recall_is_held_on_labels_not_learnt_from():
     assert (secrets.drawn(20, made, seed=5)[0] == secrets.drawn(20, made, seed=5)[0]).all()
 
 
+def test_every_candidate_is_learnt_from(spark):
+    """The network changes with whichever candidate is left out, also with the last by hash."""
+    rows = [(i, f"see item-{i * 7919}-of-the-list at {i}") for i in range(150)] + [(1000 + i, f"token: q{(i + 1) * 104729}zz") for i in range(90)]
+    seen = Scratch(spark, "t").save(secrets.look(frame(spark, rows)))
+    own = {r.doc_id: (np.frombuffer(r.labels, np.int8)[0], r.codes) for r in seen.collect()}
+    net = secrets.fit(seen, Scratch(spark, "t"), 40, 30)
+    for k in (0, 1):
+        last = max((d for d, (y, _) in own.items() if y == k), key=lambda d: hashlib.blake2b(own[d][1], digest_size=8).digest())
+        less = secrets.fit(seen.where(f"doc_id <> {last}"), Scratch(spark, "t"), 40, 30)
+        assert (less.conv != net.conv).any()
+
+
+def test_shards_hold_all_windows(spark):
+    rows = [(i, f"see item-{i * 7919}-of-the-list at {i}") for i in range(70)] + [(1000 + i, f"token: q{(i + 1) * 104729}zz") for i in range(25)] + [(0, "see item-0-of-the-list at 0")]
+    seen = Scratch(spark, "t").save(secrets.look(frame(spark, rows)))
+    want = [set(), set()]
+    for r in seen.collect():
+        want[np.frombuffer(r.labels, np.int8)[0]].add(r.codes)
+    for part in (10, 1000):
+        shards, n = secrets.dealt(seen, Scratch(spark, "t"), part)
+        got, cut = shards.collect(), lambda x: [x[i : i + secrets.LENGTH] for i in range(0, len(x or b""), secrets.LENGTH)]
+        assert n == len(got) == -(-70 // part) and sorted(r.shard for r in got) == list(range(n))
+        assert {w for r in got for w in cut(r.other)} == want[0] and sum(len(cut(r.other)) for r in got) == 70
+        assert {w for r in got for w in cut(r.found)} == want[1] and len(want[1]) == 25
+
+
+def test_ranks_and_sums_are_exact(spark):
+    draw = np.random.default_rng(2)
+    scores = np.r_[draw.random(500), 1.0, 1.0, 0.0, 1 - 2.0**-53, draw.random(200) ** 40]
+    table = spark.createDataFrame([(int(b),) for b in scores.view(np.int64)], "bits bigint").persist()
+    assert all(secrets.ranked(table, k) == np.sort(scores)[k] for k in (0, 1, 350, len(scores) - 1))
+    table.unpersist()
+    rows = spark.createDataFrame([(1, np.array([i, 0.5 * i]).tobytes()) for i in range(300)], "weight bigint, vector binary")
+    weight, total = secrets._sum(rows, 300)
+    assert weight == 300 and total.tolist() == [44850.0, 22425.0]
+
+
 def test_threshold_keeps_recall_where_findings_are_hard_to_tell():
     draw = np.random.default_rng(5)
     codes, y = draw.integers(33, 127, (2000, secrets.LENGTH)).astype(np.uint8), (draw.random(2000) < 0.1).astype(int)
