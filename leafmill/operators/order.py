@@ -11,11 +11,38 @@ from leafmill.functions.text import priority
 PAGE = ["doc_id", "page_no"]
 
 
+def _default_keys() -> list[Column]:
+    band = F.coalesce(F.bround(F.col("y0") / 12, 0) * 12, F.lit(0.0))
+    return [band, F.coalesce("x0", F.lit(0.0)), priority(F.col("type")), F.col("block_seq")]
+
+
 def default_order(blocks: DataFrame) -> DataFrame:
     """Adds pos: by bands of 12, then x, then type; blocks without a box come first. Halves round to even."""
-    band = F.coalesce(F.bround(F.col("y0") / 12, 0) * 12, F.lit(0.0))
-    keys = [band, F.coalesce("x0", F.lit(0.0)), priority(F.col("type")), F.col("block_seq")]
-    return blocks.withColumn("pos", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*keys)))
+    return blocks.withColumn("pos", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*_default_keys())))
+
+
+def _gaps(blocks: DataFrame, width: float | Column) -> DataFrame:
+    """Adds _c, the centre of a block that counts for columns, _k, its rank in the page, and _gap and _mid to the next.
+
+    Blocks that don't count are kept, as a filter would have the type made a
+    second time, once for each place that names it.
+    """
+    role = F.col("role") if "role" in blocks.columns else F.lit(None).cast("string")
+    member = (F.col("x1") - F.col("x0") < width * 0.5) & ~F.col("type").isin("header", "footer") & (F.coalesce(role, F.lit("")) != "page_number")
+    w = Window.partitionBy(*PAGE).orderBy(F.col("_c").asc_nulls_last(), "block_seq")
+    ranked = blocks.withColumn("_c", F.when(member, (F.col("x0") + F.col("x1")) / 2.0)).withColumns({"_k": F.row_number().over(w), "_next": F.lead("_c").over(w)})
+    return ranked.withColumns({"_w": F.when(F.col("_c").isNotNull(), width), "_gap": F.col("_next") - F.col("_c"), "_mid": (F.col("_c") + F.col("_next")) / 2.0}).drop("_next")
+
+
+def _best() -> tuple[Column, Column, Column]:
+    """Of a page's gaps the largest, the first of equals; its blocks that count; its width."""
+    return F.max(F.when(F.col("_gap") > 0, F.struct("_gap", (-F.col("_k")).alias("first"), "_mid"))), F.count("_c"), F.max("_w")
+
+
+def _split(best: Column, n: Column, width: Column) -> Column:
+    # Centres left of the split are those up to the gap's left one.
+    left = -best["first"]
+    return F.when((n >= 6) & (best["_gap"] > width * 0.15) & (left >= 3) & (n - left >= 3), best["_mid"])
 
 
 def column_split(blocks: DataFrame, width: float | Column) -> DataFrame:
@@ -24,28 +51,27 @@ def column_split(blocks: DataFrame, width: float | Column) -> DataFrame:
     Narrow blocks that aren't headers or footers count; the gap must pass 15 %
     of the width and leave three centres on either side.
     """
-    role = F.col("role") if "role" in blocks.columns else F.lit(None).cast("string")
     width = width if isinstance(width, Column) else F.lit(float(width))
-    member = (F.col("x1") - F.col("x0") < width * 0.5) & ~F.col("type").isin("header", "footer") & (F.coalesce(role, F.lit("")) != "page_number")
-    centres = blocks.where(F.col("x0").isNotNull() & member).select(*PAGE, "block_seq", ((F.col("x0") + F.col("x1")) / 2.0).alias("c"), width.alias("_w"))
-    w = Window.partitionBy(*PAGE).orderBy("c", "block_seq")
-    follow = F.lead("c").over(w)
-    gaps = centres.select(*PAGE, "c", "_w", F.row_number().over(w).alias("k"), (follow - F.col("c")).alias("gap"), ((F.col("c") + follow) / 2.0).alias("mid"))
-    best = gaps.groupBy(*PAGE).agg(F.first("_w").alias("_w"), F.count("*").alias("n"), F.max(F.when(F.col("gap") > 0, F.struct("gap", (-F.col("k")).alias("first"), "mid"))).alias("best"))
-    split = F.col("best.mid")
-    # Centres left of the split are those up to the gap's left one.
-    left = -F.col("best.first")
-    return best.where((F.col("n") >= 6) & (F.col("best.gap") > F.col("_w") * 0.15) & (left >= 3) & (F.col("n") - left >= 3)).select(*PAGE, split.alias("split_x"))
+    best, n, wide = _best()
+    pages = _gaps(blocks, width).groupBy(*PAGE).agg(best.alias("best"), n.alias("n"), wide.alias("_w"))
+    return pages.select(*PAGE, _split(F.col("best"), F.col("n"), F.col("_w")).alias("split_x")).where("split_x IS NOT NULL")
 
 
 def two_column_order(blocks: DataFrame, width: float | Column) -> DataFrame:
-    """Adds pos: column by column on pages in two columns, the default order elsewhere."""
-    split = column_split(blocks, width)
-    joined = default_order(blocks).withColumnRenamed("pos", "plain").join(split, PAGE, "left")
-    side = F.when(F.col("x0").isNull(), 2).when((F.col("x0") + F.col("x1")) / 2.0 < F.col("split_x"), 0).otherwise(1)
-    keys = [side, F.col("y0"), F.col("x0"), F.col("block_seq")]
-    keyed = joined.withColumns({f"k{i}": F.when(F.col("split_x").isNull(), F.col("plain").cast("double") if i == 0 else F.lit(0.0)).otherwise(k.cast("double")) for i, k in enumerate(keys)})
-    return keyed.withColumn("pos", F.row_number().over(Window.partitionBy(*PAGE).orderBy("k0", "k1", "k2", "k3"))).drop("plain", "k0", "k1", "k2", "k3")
+    """Adds pos and split_x: column by column on pages in two columns, the default order elsewhere.
+
+    The split is a window over the page, so blocks are made once.
+    """
+    width = width if isinstance(width, Column) else F.lit(float(width))
+    page = Window.partitionBy(*PAGE)
+    best = [c.over(page).alias(k) for k, c in zip(("_best", "_n", "_wide"), _best(), strict=True)]
+    split = _gaps(blocks, width).select("*", *best).withColumn("split_x", _split(F.col("_best"), F.col("_n"), F.col("_wide")))
+    side = F.when(F.col("x0").isNull(), 2.0).when((F.col("x0") + F.col("x1")) / 2.0 < F.col("split_x"), 0.0).otherwise(1.0)
+    plain, whole = _default_keys(), F.col("split_x").isNull()
+    keys = [F.when(whole, a.cast("double")).otherwise(b) for a, b in zip(plain, (side, F.col("y0"), F.col("x0")), strict=False)]
+    made = split.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
+    made = made.withColumn("pos", F.row_number().over(page.orderBy("_k0", "_k1", "_k2", "block_seq")))
+    return made.select(*[c for c in blocks.columns if c != "pos"], "split_x", "pos")
 
 
 def projection_columns(blocks: DataFrame, width_of: str = "width") -> DataFrame:
