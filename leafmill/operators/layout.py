@@ -27,7 +27,8 @@ def zones(blocks: DataFrame, height: float) -> DataFrame:
     """Headers, footers and page numbers by place; adds role. Width is held against the page's height."""
     kind, boxed = F.col("type"), F.col("y0").isNotNull()
     low = boxed & (F.col("y1") / height > 0.94)
-    number = low & ((F.col("x1") - F.col("x0")) / height < 0.08) & looks_numeric(F.col("text"))
+    # Not one conjunction: what type and role share would be evaluated for every block, texts of no footer too.
+    number = F.when(low & ((F.col("x1") - F.col("x0")) / height < 0.08), looks_numeric(F.col("text"))).otherwise(False)
     top = boxed & ~low & (F.col("y0") / height < 0.06) & ~kind.isin(*_FIXED, "title", "heading") & (F.length(strip(F.col("text"))) < 60)
     new = F.when(number | (low & ~kind.isin(*_FIXED)), "footer").when(top, "header").otherwise(kind)
     return blocks.withColumns({"type": new, "role": F.when(number, "page_number")})
@@ -56,38 +57,36 @@ def vertical(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"direction": F.when(found, "vertical"), "direction_warning": F.when(found, warning)})
 
 
-def isolation(blocks: DataFrame, height: float) -> DataFrame:
-    """Adds isolation, 0 to 1: a block's distances above and below against the page's mean gap.
+def isolation(blocks: DataFrame, height: float, of: Column | None = None) -> DataFrame:
+    """Adds isolation, 0 to 1: a block's distances above and below against the page's mean gap; with ``of``, of those blocks alone.
 
     The block above is the last in order of y0 that ends over this one, the
     block below the first that begins under it.
     """
-    w = Window.partitionBy(*PAGE).orderBy(F.coalesce("y0", F.lit(0.0)), "block_seq")
-    prev = F.lag(F.struct("y1")).over(w)
-    gap = F.col("y0") - prev["y1"]
-    gaps = blocks.select(*PAGE, gap.alias("gap"))
-    mean = gaps.groupBy(*PAGE).agg(F.avg(F.when(F.col("gap") > 0, F.col("gap"))).alias("mean_gap"))
-    boxes = F.filter(F.sort_array(F.collect_list(F.struct("y0", "block_seq", "y1"))), lambda b: b["y0"].isNotNull())
-    pages = blocks.groupBy(*PAGE).agg(boxes.alias("boxes")).join(mean, PAGE)
-    own = blocks.join(pages, PAGE)
-    over = F.filter("boxes", lambda b: b["y1"] < F.col("y0"))
-    under = F.filter("boxes", lambda b: b["y0"] > F.col("y1"))
-    above = F.try_element_at(over, F.lit(-1))["y1"]
-    below = F.try_element_at(under, F.lit(1))["y0"]
+    page = Window.partitionBy(*PAGE)
+    gap = F.col("y0") - F.lag("y1").over(page.orderBy(F.coalesce("y0", F.lit(0.0)), "block_seq"))
+    boxes = F.collect_list(F.when(F.col("y0").isNotNull(), F.struct("y0", "block_seq", "y1"))).over(page)
+    own = blocks.withColumn("_gap", gap).withColumns({"mean_gap": F.avg(F.when(F.col("_gap") > 0, F.col("_gap"))).over(page), "boxes": boxes})
+    above = F.array_max(F.filter("boxes", lambda b: b["y1"] < F.col("y0")))["y1"]
+    below = F.array_min(F.filter("boxes", lambda b: b["y0"] > F.col("y1")))["y0"]
+    some = F.lit(True) if of is None else of
+    own = own.withColumns({"_above": F.when(some, above), "_below": F.when(some, below)})
+    above, below = F.col("_above"), F.col("_below")
     above_gap = F.when(above > 0, F.col("y0") - above).otherwise(F.col("y0"))
     below_gap = F.when(below < height, below - F.col("y1")).otherwise(height - F.col("y1"))
     share = lambda g: F.least(g / F.col("mean_gap"), F.lit(3.0))
-    score = F.when(F.col("y0").isNull(), None).when(F.col("mean_gap").isNull(), 0.0).otherwise((share(above_gap) + share(below_gap)) / 6.0)
-    return own.withColumn("isolation", score).drop("boxes", "mean_gap")
+    score = F.when(F.col("y0").isNull() | ~some, None).when(F.col("mean_gap").isNull(), 0.0).otherwise((share(above_gap) + share(below_gap)) / 6.0)
+    return own.withColumn("isolation", score).drop("boxes", "mean_gap", "_gap", "_above", "_below")
 
 
 def formulas(blocks: DataFrame, height: float) -> DataFrame:
     """Display formulas by their text, or by weaker text and isolation."""
     t = strip(F.col("text"))
-    scored = isolation(blocks, height).withColumns({"_m": formula.math_score(t), "_f": formula.fragment_score(t)})
-    open_to = F.col("type").isin("paragraph", "uncertain", "heading") & F.col("y0").isNotNull() & (F.length(t) > 0) & ~formula.is_measure(t) & ~formula.is_prose(t)
+    open_to = F.col("type").isin("paragraph", "uncertain", "heading") & F.col("y0").isNotNull() & (F.length(t) > 0) & ~formula.is_prose(t) & ~formula.is_measure(t)
+    # Only what is open to be a formula is scored; most lines are prose, which their first words tell.
+    scored = isolation(blocks.withColumn("_o", F.coalesce(open_to, F.lit(False))), height, F.col("_o")).withColumns({"_m": F.when(F.col("_o"), formula.math_score(t)), "_f": F.when(F.col("_o"), formula.fragment_score(t))})
     strong = (F.col("_f") >= 0.6) | (F.col("_m") >= 0.45) | ((F.col("_m") >= 0.25) & (F.col("isolation") >= 0.30))
-    return scored.withColumn("type", F.when(open_to & strong, "formula").otherwise(F.col("type"))).drop("_m", "_f", "isolation")
+    return scored.withColumn("type", F.when(F.col("_o") & strong, "formula").otherwise(F.col("type"))).drop("_m", "_f", "_o", "isolation")
 
 
 def enhance(blocks: DataFrame, width: float, height: float) -> DataFrame:
