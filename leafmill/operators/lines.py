@@ -119,8 +119,9 @@ def merge_paragraphs(blocks: DataFrame, ocr: bool = False) -> DataFrame:
 
     def step(acc: Column, b: Column) -> Column:
         joins = F.coalesce(same(acc["open"], b), F.lit(False))
-        closed = F.when(joins | acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
-        return F.struct(closed.alias("done"), F.when(joins, _merged(acc["open"], b)).otherwise(b).alias("open"))
+        state = lambda done, last: F.struct(done.alias("done"), last.alias("open")).cast(kind)
+        closed = F.concat(acc["done"], F.array(acc["open"]))
+        return F.when(joins, state(acc["done"], _merged(acc["open"], b))).when(acc["open"].isNull(), state(acc["done"], b)).otherwise(state(closed, b))
 
     start = F.struct(F.array().cast(f"array<{block}>").alias("done"), F.lit(None).cast(block).alias("open")).cast(kind)
     # Blocks enter in the accumulator's own shape.

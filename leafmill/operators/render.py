@@ -218,7 +218,8 @@ def compact(blocks: DataFrame) -> DataFrame:
 
 def legacy(blocks: DataFrame) -> DataFrame:
     """Text protocol v1."""
-    s, kind = squeeze(F.col("text")), F.col("type")
+    blocks = blocks.withColumn("_q", squeeze(F.col("text")))
+    s, kind = F.col("_q"), F.col("type")
     figure = F.concat(chart_listing(), F.when(s != "", F.concat(_S("\nfigure_note: "), s)).otherwise(""))
     block = F.when((kind == "figure") & _has_chart(), figure).when((s != "") | kind.isin("figure", "table", "formula"), F.concat(kind, _confidence(), _S(": "), s))
     head = F.concat(_S("LEAFMILL_TEXT v1\nsource: "), _source(), _S("\npages: "), F.col("_n"), _S("\n"))
@@ -251,7 +252,7 @@ def heading_levels(blocks: DataFrame) -> DataFrame:
 
 def context(blocks: DataFrame) -> DataFrame:
     """Adds before and after: the first 200 characters of the nearest text blocks with text on the page."""
-    told = F.when(F.col("type").isin("paragraph", "list", "heading", "title") & (squeeze(F.col("text")) != ""), F.substring(squeeze(F.col("text")), 1, 200))
+    told = F.when(F.col("type").isin("paragraph", "list", "heading", "title"), F.nullif(F.substring(squeeze(F.col("text")), 1, 200), _S("")))
     page = Window.partitionBy("doc_id", "page_no").orderBy("pos")
     past, future = page.rowsBetween(Window.unboundedPreceding, -1), page.rowsBetween(1, Window.unboundedFollowing)
     held = blocks.withColumn("_t", told)
